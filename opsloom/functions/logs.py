@@ -39,7 +39,8 @@ def _utc(text: Column) -> Column:
 
 def keep_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:
     """Strip the lines, drop blank ones and ``#`` comments."""
-    return df.withColumn(line, strip(F.col(line))).filter(~F.col(line).rlike("^(#|$)"))
+    # filter on the line as read, so that pushing the filter down does not copy the strip
+    return df.filter(~F.col(line).rlike(r"^\s*(#|$)")).withColumn(line, strip(F.col(line)))
 
 
 def parse_lines(df: DataFrame, as_of: Column) -> DataFrame:
@@ -115,27 +116,27 @@ def message_fields(df: DataFrame, message: str = "message") -> DataFrame:
 
     A row that only fell back (layout ``fallback``) keeps empty fields.
     """
-    text = F.col(message)
-    lowered = F.lower(text)
+    text, low = F.col(message), F.col("_low")
     parsed = F.col("layout") != "fallback" if "layout" in df.columns else F.lit(True)
-    memory = F.regexp_extract(text, R.MEMORY_SIZE, 1)
-    in_gb = F.upper(F.regexp_extract(text, R.MEMORY_SIZE, 2)) == "GB"
-    out = df.withColumns({
-        "request_id": F.when(parsed, first_group(text, R.REQUEST_ID)),
-        "error_code": F.when(parsed, first_group(text, R.ERROR_CODE)),
-        "duration_ms": F.when(parsed, first_group(text, R.DURATION_MS).cast("double")),
-        "cpu_percent": F.when(parsed, first_group(text, R.CPU_PERCENT).cast("double")),
-        "memory_mb": F.when(parsed & (memory != ""), memory.cast("double") * F.when(in_gb, 1024.0).otherwise(1.0)),
+    has_memory = parsed & low.contains("memory")
+    memory = first_group(text, R.MEMORY_SIZE, 1, has_memory).cast("double")
+    unit = F.when(F.lower(F.regexp_extract(text, R.MEMORY_SIZE, 2)) == "gb", 1024.0).otherwise(1.0)
+    out = df.withColumn("_low", F.lower(text)).withColumns({
+        "request_id": first_group(text, R.REQUEST_ID, 1, parsed & low.contains("request")),
+        "error_code": first_group(text, R.ERROR_CODE, 1, parsed & low.contains("error")),
+        "duration_ms": first_group(text, R.DURATION_MS, 1, parsed & text.contains("ms")).cast("double"),
+        "cpu_percent": first_group(text, R.CPU_PERCENT, 1, parsed & low.contains("cpu")).cast("double"),
+        "memory_mb": F.when(has_memory, memory * unit),
     })
     performance = [F.when(F.col(c).isNotNull(), F.lit("performance")) for c in ("cpu_percent", "memory_mb")]
-    topics = [F.when(any_of(lowered, words), F.lit(tag)) for tag, words in R.TOPIC_TAGS]
+    topics = [F.when(any_of(low, words), F.lit(tag)) for tag, words in R.TOPIC_TAGS]
     return out.withColumns({
         "tags": F.when(parsed, F.array_compact(F.array(*performance, *topics)))
         .otherwise(F.array().cast("array<string>")),
         "metadata": F.map_filter(
             F.create_map(F.lit("cpu_percent"), F.col("cpu_percent"), F.lit("memory_mb"), F.col("memory_mb")),
             lambda _, v: v.isNotNull()),
-    })
+    }).drop("_low")
 
 
 def message_template(message: Column) -> Column:
@@ -147,25 +148,23 @@ def is_failure(level: Column) -> Column:
     return level.isin("ERROR", "CRITICAL")
 
 
-def summary(level: Column, service: Column, message: Column) -> Column:
-    text = F.lower(message)
+def summary(level: Column, service: Column, text: Column) -> Column:
+    """One line on what happened; ``text`` is the lowered message, here and below."""
     issue = F.coalesce(*[F.when(any_of(text, words), F.lit(end)) for words, end in R.SUMMARY_RULES],
                        F.lit(" reported an error condition"))
     return F.concat(service, F.when(is_failure(level), issue)
                     .when(level == "WARN", " has warning condition").otherwise(" normal operation log"))
 
 
-def category(level: Column, message: Column) -> Column:
-    text = F.lower(message)
+def category(level: Column, text: Column) -> Column:
     issue = F.coalesce(*[F.when(any_of(text, words), F.lit(name)) for words, name in R.CATEGORY_RULES],
                        F.lit("application_error"))
     return (F.when(is_failure(level), issue).when(level == "WARN", "warning")
             .when(any_of(text, ["start", "init"]), "system_event").otherwise("normal_operation"))
 
 
-def severity(level: Column, message: Column) -> Column:
+def severity(level: Column, text: Column) -> Column:
     """Score 0..1: base by level plus word bonuses, capped, two decimals."""
-    text = F.lower(message)
     base = F.coalesce(*[F.when(level == name, F.lit(score)) for name, score in R.LEVEL_SEVERITY.items()], F.lit(0.1))
     total = base
     for word, bonus in R.SEVERITY_BONUS.items():
@@ -185,8 +184,7 @@ def embedding_text(service: Column, level: Column, component: Column, message: C
     )
 
 
-def keywords(message: Column) -> Column:
-    text = F.lower(message)
+def keywords(text: Column) -> Column:
     numbers = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: F.concat(F.lit("metric_"), v))
                for p in R.LOG_METRICS]
     return distinct_sorted(words_found(text, R.LOG_KEYWORDS), *numbers)
@@ -198,23 +196,22 @@ def pattern_entities(text: Column, patterns: list[str], prefix: str) -> Column:
     return F.transform(F.concat(*found), lambda v: F.concat(F.lit(prefix), v))
 
 
-def entities(message: Column) -> Column:
-    text = F.lower(message)
+def entities(text: Column) -> Column:
     return distinct_sorted(pattern_entities(text, R.LOG_SERVICES, "service:"),
                            words_found(text, R.LOG_TECH, "tech:"))
 
 
 def enrich_entries(df: DataFrame) -> DataFrame:
     """Summary, category, severity, embedding text, keywords and entities of log entries."""
-    level, service, message = F.col("log_level"), F.col("service_name"), F.col("message")
-    return df.withColumns({
+    level, service, message, text = F.col("log_level"), F.col("service_name"), F.col("message"), F.col("_low")
+    return df.withColumn("_low", F.lower(message)).withColumns({
         "content": embedding_text(service, level, F.col("component"), message, F.col("tags")),
-        "summary": summary(level, service, message),
-        "category": category(level, message),
-        "severity_score": severity(level, message),
-        "keywords": keywords(message),
-        "entities": entities(message),
-    })
+        "summary": summary(level, service, text),
+        "category": category(level, text),
+        "severity_score": severity(level, text),
+        "keywords": keywords(text),
+        "entities": entities(text),
+    }).drop("_low")
 
 
 def log_entries(df: DataFrame, as_of: Column, formats: str = "standard") -> DataFrame:

@@ -10,9 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# fixed values: every character that counts as white space
+_WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
-    """Drop all white space at both ends (``trim`` only drops blanks)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Drop all white space at both ends (plain ``trim`` only drops blanks)."""
+    return F.trim(col, F.lit(_WHITE))
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
@@ -37,12 +42,17 @@ def words_found(text: Column, words: Iterable[str], prefix: str = "") -> Column:
 def distinct_sorted(*arrays: Column) -> Column:
     """Distinct values of several arrays in a stable order."""
     joined = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    return F.array_sort(F.array_distinct(joined))
+    return F.sort_array(F.array_distinct(joined))
+
 
+def first_group(text: Column, pattern: str, group: int = 1, guard: Column | None = None) -> Column:
+    """Group of the first match, null when there is none.
 
-def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    """Group of the first match, null when there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    ``guard`` is a cheap test that must hold for any match; it keeps the regex
+    off the rows that cannot match.
+    """
+    found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return found if guard is None else F.when(guard, found)
 
 
 def clip(text: Column, size: int, ellipsis: str = "...") -> Column:

@@ -79,3 +79,100 @@ v_log_line as (
   from v_base)"""
 
 AS_OF = "2024-02-01T00:00:00Z"
+
+
+# ------------------------------------------------------------------ documents, merge requests, tickets, questions
+def _dialect(text: str, spark: bool) -> str:
+    """One expression text for both engines; only the list constructor and string type differ."""
+    return (text.replace("LIST(", "array(" if spark else "list_value(")
+            .replace("TEXT)", "string)" if spark else "varchar)"))
+
+
+_DOC = {
+    "doc_id": "doc_id",
+    "source_type": "case doc_id % 4 when 0 then 'wiki' when 1 then 'gitlab' when 2 then 'jira' else 'wiki' end",
+    "title": "substr(text, 1, 40)",
+    "content": "concat(text, case doc_id % 7 when 0 then ' kubernetes and docker monitoring on web-server'"
+               " when 1 then ' mysql slow, solution: fix the service-b memory leak and restart' when 2 then"
+               " ' redis timeout best practice: recommendation is a larger connection pool' when 3 then"
+               " ' service-c depends on database, order-service connects to redis' when 4 then"
+               " ' 故障排查 CPU 监控 最佳实践 优化 连接' when 5 then ' api-gateway error on host-3, cpu usage high, 10.0.0.7'"
+               " else '' end)",
+    "category": "lang",
+    "author": "source",
+    "tags": "LIST(source, concat('lang_', lang))",
+    "service_name": "case doc_id % 5 when 0 then 'service-b' when 1 then 'service-a' when 2 then 'unknown'"
+                    " when 3 then 'documentation' else 'service-c' end",
+    "log_level": "case doc_id % 3 when 0 then 'ERROR' when 1 then 'WARN' else 'INFO' end",
+    "log_file": "concat('incident_00', doc_id % 4, '_app.log')",
+    "line_number": "doc_id % 100",
+}
+
+_CHANGE = {
+    "id": "cast(o_orderkey as TEXT)",
+    "title": "case o_orderkey % 4 when 0 then concat('Fix bug in service-', chr(cast(97 + o_custkey % 6 as int)))"
+             " when 1 then 'Add Feature flag' when 2 then concat('Tune order ', o_orderkey) else '' end",
+    "description": "case when o_orderkey % 7 = 0 then '' else concat('order ', o_orderkey, ' is ', o_orderpriority) end",
+    "files_changed": "case when o_orderkey % 3 = 0 then LIST(concat('src/service-', chr(cast(97 + o_custkey % 6 as int)),"
+                     " '/mod_', o_custkey % 10, '.py'), concat('deploy/docker/app', o_orderkey % 3, '.yaml'))"
+                     " when o_orderkey % 3 = 1 then LIST(concat('Config/.env'), concat('web/order-service/a', o_custkey % 5,"
+                     " '.JS')) else LIST(concat('lib/x', o_orderkey % 11, '.go')) end",
+    "labels": "case o_orderstatus when 'F' then LIST('Backend', 'bug') when 'O' then LIST('frontend', o_orderpriority)"
+              " else LIST('api', 'database', 'api') end",
+}
+
+_TICKET = {
+    "id": "concat('OPS-', o_orderkey)",
+    "title": "case when o_orderkey % 5 = 0 then '' else concat('CPU high on service-', chr(cast(97 + o_custkey % 6 as int))) end",
+    "description": "case o_orderkey % 4 when 0 then 'disk full, mysql down 故障' when 1 then 'Docker memory 超时 on nginx'"
+                   " when 2 then '' else concat('network ', o_custkey) end",
+    "type": "case o_orderstatus when 'F' then 'bug' when 'O' then 'incident' else 'task' end",
+    "priority": "o_orderpriority",
+    "status": "o_orderstatus",
+    "components": "case when o_custkey % 3 = 0 then LIST(concat('service-', chr(cast(97 + o_custkey % 6 as int))),"
+                  " 'Web-Server') when o_custkey % 3 = 1 then LIST('queue', concat('pool', o_custkey % 4))"
+                  " else LIST('cache-service') end",
+    "created": "o_orderdate",
+}
+
+_QUESTION = {
+    "query_id": "conv_id * 1000 + turn",
+    "query": "concat(case (conv_id + turn) % 8 when 0 then 'service-b CPU critical error on d1-app-01, timeout '"
+             " when 1 then 'database connection slow, please analyze Service C ' when 2 then '最近 内存 异常 排查 service-a '"
+             " when 3 then '优化 cluster 性能 disk usage ' when 4 then 'hello there ' when 5 then"
+             " 'debug service-d1 memory issue, is disk io down ' when 6 then '部署 kubernetes config 紧急 '"
+             " else 'warn: 监控 service-e unavailable, restart ' end, text)",
+    "role": "role",
+    "conv_id": "conv_id",
+    "turn": "turn",
+}
+
+
+def _spark_view(spark, sf_dir, name, columns):
+    return table(spark, sf_dir, name).selectExpr(*[f"{_dialect(e, True)} as {c}" for c, e in columns.items()])
+
+
+def _sql_view(view, name, columns):
+    return f"{view} as (select " + ", ".join(f"{_dialect(e, False)} as {c}" for c, e in columns.items()) + f" from {name})"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark_view(spark, sf_dir, "documents", _DOC)
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark_view(spark, sf_dir, "orders", _CHANGE)
+
+
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark_view(spark, sf_dir, "orders", _TICKET)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark_view(spark, sf_dir, "conversations", _QUESTION)
+
+
+DOCUMENTS = _sql_view("v_kb", "documents", _DOC)
+CHANGES = _sql_view("v_change", "orders", _CHANGE)
+TICKETS = _sql_view("v_ticket", "orders", _TICKET)
+QUESTIONS = _sql_view("v_question", "conversations", _QUESTION)

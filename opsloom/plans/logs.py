@@ -10,7 +10,8 @@ from opsloom.functions.text import normalize_service, text_key
 from opsloom.plans import bindings as B
 from opsloom.plans.sqltext import any_like, bonus_sum, chain, found_list, quote, ts_text
 
-AS_OF = F.lit(B.AS_OF).cast("timestamp")
+def as_of():
+    return F.lit(B.AS_OF).cast("timestamp")
 
 
 def _fmt(col):
@@ -129,15 +130,15 @@ derived as (select *, {_SUMMARY} as summary, {_CATEGORY} as category, {_SEVERITY
 
 # ------------------------------------------------------------------ queries
 def parsed_lines(spark, d):
-    return L.parse_lines(B.log_lines(spark, d), AS_OF)
+    return L.parse_lines(B.log_lines(spark, d), as_of())
 
 
 def entries(spark, d):
-    return L.message_fields(L.parse_entries(B.log_lines(spark, d), AS_OF))
+    return L.message_fields(L.parse_entries(B.log_lines(spark, d), as_of()))
 
 
 def enriched(spark, d):
-    return L.log_entries(B.log_lines(spark, d), AS_OF)
+    return L.log_entries(B.log_lines(spark, d), as_of())
 
 
 def parse_first_layout(spark, d):
@@ -147,7 +148,7 @@ def parse_first_layout(spark, d):
 
 
 def parse_second_layout(spark, d):
-    return L.parse_entries(B.log_lines(spark, d), AS_OF).select(
+    return L.parse_entries(B.log_lines(spark, d), as_of()).select(
         "line_number", "layout", _fmt("timestamp").alias("ts_text"), "service_name", "host_ip", "host_name",
         "log_level", "message", "component", "thread_id")
 
@@ -174,7 +175,7 @@ _EXT_SQL = "v_log_line as (select {} as raw_line, event_id as line_number, ts, u
 
 
 def parse_extended_layouts(spark, d):
-    return L.parse_entries(_extended_lines(spark, d), AS_OF, "extended").select(
+    return L.parse_entries(_extended_lines(spark, d), as_of(), "extended").select(
         "line_number", "layout", _fmt("timestamp").alias("ts_text"), "service_name", "log_level", "message",
         "component", "thread_id", "host_ip")
 
@@ -186,7 +187,7 @@ def message_field_extraction(spark, d):
 
 
 def template_counts(spark, d):
-    return (L.parse_entries(B.log_lines(spark, d), AS_OF)
+    return (L.parse_entries(B.log_lines(spark, d), as_of())
             .groupBy(L.message_template(F.col("message")).alias("template"))
             .agg(F.count("*").alias("n"), F.min("line_number").alias("first_line")))
 
@@ -243,7 +244,7 @@ def incident_log_rows(spark, d):
     facts = L.file_facts(F.col("log_file"))
     rows = parsed_lines(spark, d).filter(F.col("log_file").rlike(r"^incident_.*\.log$")).withColumn("f", facts)
     tags = F.concat(F.array("f.incident_id", "f.problem_type", F.concat(F.lit("service:"), F.col("f.primary_service"))),
-                    L.keywords(F.col("message")))
+                    L.keywords(F.lower("message")))
     return rows.select(
         F.format_string("incident_%s_%d", F.col("f.incident_id"), F.col("line_number")).alias("source_id"),
         F.format_string("[%s] %s", F.col("level"), F.col("service_name")).alias("title"),
