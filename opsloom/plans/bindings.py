@@ -97,7 +97,7 @@ _DOC = {
                " ' redis timeout best practice: recommendation is a larger connection pool' when 3 then"
                " ' service-c depends on database, order-service connects to redis' when 4 then"
                " ' 故障排查 CPU 监控 最佳实践 优化 连接' when 5 then ' api-gateway error on host-3, cpu usage high, 10.0.0.7'"
-               " else '' end)",
+               " else ' 案例: 处理 memory 方案' end)",
     "category": "lang",
     "author": "source",
     "tags": "LIST(source, concat('lang_', lang))",
@@ -176,3 +176,28 @@ DOCUMENTS = _sql_view("v_kb", "documents", _DOC)
 CHANGES = _sql_view("v_change", "orders", _CHANGE)
 TICKETS = _sql_view("v_ticket", "orders", _TICKET)
 QUESTIONS = _sql_view("v_question", "conversations", _QUESTION)
+
+
+# ------------------------------------------------------------------ questions with vectors, documents with vectors
+_ASK = {
+    "query_id": "item_id",
+    "query": "concat(text, case item_id % 6 when 0 then ' mysql slow connection' when 1 then ' kubernetes docker'"
+             " when 2 then ' redis timeout service-b' when 3 then ' service-c database' when 4 then ' api-gateway error'"
+             " else ' cpu usage memory leak' end)",
+    "asked_service": "case item_id % 3 when 0 then 'service-b' when 1 then 'service-a' else 'service-c' end",
+}
+
+
+def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, asked_service and, where an embedding has that id, its vector."""
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _spark_view(spark, sf_dir, "benchmark", _ASK).join(vec, "query_id", "left")
+
+
+def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+ASKS = _sql_view("v_ask", "benchmark", _ASK) + """,
+v_ask_vec as (select item_id as query_id, embedding::double[] as vector from benchmark join embeddings on vec_id = item_id),
+v_doc_vec as (select vec_id as doc_id, embedding::double[] as vector from embeddings)"""
