@@ -201,3 +201,69 @@ def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKS = _sql_view("v_ask", "benchmark", _ASK) + """,
 v_ask_vec as (select item_id as query_id, embedding::double[] as vector from benchmark join embeddings on vec_id = item_id),
 v_doc_vec as (select vec_id as doc_id, embedding::double[] as vector from embeddings)"""
+
+
+# ------------------------------------------------------------------ graph
+_EDGE_PARTS = [
+    ("supplier", "concat('service-', s_suppkey)", "concat('host-', s_nationkey)", "'DEPLOYED_ON'", ""),
+    ("supplier", "concat('service-', s_suppkey)", "concat('service-', (s_suppkey * 7 + 1) % 97)", "'CALLS'", ""),
+    ("supplier", "concat('service-', s_suppkey)", "concat('service-', (s_suppkey * 3 + 2) % 89)", "'ROUTES_TO'",
+     "s_suppkey % 2 = 0"),
+    ("lineitem", "concat('issue-', l_orderkey)", "concat('service-', l_suppkey)", "'AFFECTS'", ""),
+    ("lineitem", "concat('service-', l_suppkey)", "concat('part-', l_partkey)", "'USES'", "l_returnflag = 'R'"),
+]
+
+
+def edges(spark: SparkSession, sf_dir: str, service_only: bool = False) -> DataFrame:
+    out = None
+    for name, src, dst, kind, where in _EDGE_PARTS:
+        if service_only and kind not in ("'CALLS'", "'ROUTES_TO'"):
+            continue
+        df = table(spark, sf_dir, name)
+        df = (df.filter(where) if where else df).selectExpr(f"{src} as src", f"{dst} as dst", f"{kind} as type")
+        out = df if out is None else out.unionByName(df)
+    return out.distinct()
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(name, expr, kind):
+        return table(spark, sf_dir, name).selectExpr(f"{expr} as name", f"'{kind}' as type")
+
+    return (of("supplier", "concat('service-', s_suppkey)", "Service")
+            .unionByName(of("nation", "concat('host-', n_nationkey)", "Host"))
+            .unionByName(of("orders", "concat('issue-', o_orderkey)", "Issue"))
+            .unionByName(of("part", "concat('part-', p_partkey)", "Component")))
+
+
+EDGES = ("v_edge as (select distinct src, dst, type from (" + " union all ".join(
+    f"select {src} as src, {dst} as dst, {kind} as type from {name}" + (f" where {where}" if where else "")
+    for name, src, dst, kind, where in _EDGE_PARTS) + "))")
+NODES = """v_node as (select concat('service-', s_suppkey) as name, 'Service' as type from supplier
+  union all select concat('host-', n_nationkey), 'Host' from nation
+  union all select concat('issue-', o_orderkey), 'Issue' from orders
+  union all select concat('part-', p_partkey), 'Component' from part)"""
+
+
+def affects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issue, component, issue_type: one row per order line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    types = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority"))
+    return lines.join(types, "l_orderkey").select(
+        F.concat(F.lit("issue-"), "l_orderkey").alias("issue"), F.concat(F.lit("part-"), "l_partkey").alias("component"),
+        F.col("o_orderpriority").alias("issue_type"))
+
+
+AFFECTS = """v_affects as (select concat('issue-', l_orderkey) as issue, concat('part-', l_partkey) as component,
+  o_orderpriority as issue_type from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, type, doc_id: services that the document rows name."""
+    docs = table(spark, sf_dir, "documents")
+    one = docs.selectExpr("concat('service-', doc_id % 100) as name", "'Service' as type", "doc_id")
+    two = docs.selectExpr("concat('part-', doc_id % 37) as name", "'Component' as type", "doc_id")
+    return one.unionByName(two)
+
+
+MENTIONS = """v_mention as (select concat('service-', doc_id % 100) as name, 'Service' as type, doc_id from documents
+  union all select concat('part-', doc_id % 37), 'Component', doc_id from documents)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["logs", "documents", "search"]
+AREAS = ["logs", "documents", "search", "graph"]
 
 
 def catalog() -> dict:
