@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["logs", "documents", "search", "graph"]
+AREAS = ["logs", "documents", "search", "graph", "entities", "rca"]
 
 
 def catalog() -> dict:
