@@ -26,7 +26,7 @@ def _needed_word(pattern: str, flags: int) -> str:
     """Longest run of letters that every match must hold; cheap to test before the regex."""
     if not flags & re.I or "|" in pattern:
         return ""
-    return max(re.findall(r"[a-z]{3,}", re.sub(r"\\.|\[[^\]]*\][?*+]?", " ", pattern)), key=len, default="")
+    return max(re.findall(r"[a-z]{3,}", re.sub(r"\\.|\[[^\]]*\][?*+]?|[a-z]\?", " ", pattern)), key=len, default="")
 
 
 def _span_function(rules, lower_after: int | None = None):
@@ -111,11 +111,14 @@ def pattern_relations(docs: DataFrame, entities: DataFrame, doc_id: str = "doc_i
     """``a depends on b`` and the like, when both ends are entities of the same text (the first with that text)."""
     def of_rule(n: int, kind: str, pattern: str) -> Column:
         ends = [F.regexp_extract_all(F.col(text), F.lit("(?iU)" + pattern), F.lit(g)) for g in (1, 2)]
-        return F.zip_with(*ends, lambda a, b: F.struct(F.lit(n).alias("rule"), F.lit(kind).alias("relation"),
+        rows = F.zip_with(*ends, lambda a, b: F.struct(F.lit(n).alias("rule"), F.lit(kind).alias("relation"),
                                                        a.alias("source_text"), b.alias("target_text")))
+        return F.when(F.col("_low").contains(_needed_word(pattern, re.I)), rows).otherwise(F.array().cast(
+            "array<struct<rule:int,relation:string,source_text:string,target_text:string>>"))
 
     found = F.concat(*[of_rule(n, kind, p) for n, (kind, p) in enumerate(R.RELATION_PATTERNS)])
-    said = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("pos", "r")).select(
+    folded = docs.withColumn("_low", F.lower(F.upper(text)))
+    said = folded.select(F.col(doc_id).alias("doc_id"), F.posexplode(found).alias("pos", "r")).select(
         "doc_id", "pos", "r.relation", "r.source_text", "r.target_text")
     first = best_per(entities.withColumn("key", F.lower("text")), ["doc_id", "key"], [F.asc("ord")], 1, "n").select(
         "doc_id", "key", "ord", "label")

@@ -267,3 +267,23 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MENTIONS = """v_mention as (select concat('service-', doc_id % 100) as name, 'Service' as type, doc_id from documents
   union all select concat('part-', doc_id % 37), 'Component', doc_id from documents)"""
+
+
+# ------------------------------------------------------------------ metric samples
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_type, ts, event_id, counter: running count per type that starts again on day 16."""
+    from opsloom.operators.metrics import counter_series
+
+    era = events(spark, sf_dir).withColumn("era", F.col("ts") >= F.lit("2024-01-16").cast("timestamp"))
+    return counter_series(era, ["event_type", "era"], ["ts", "event_id"]).select("event_type", "ts", "event_id", "counter")
+
+
+COUNTERS = """v_counter as (select event_type, ts, event_id, count(*) over (partition by event_type,
+  ts >= timestamp '2024-01-16' order by ts, event_id rows unbounded preceding) as counter from events)"""
+DELTAS = COUNTERS + """, v_prev as (select *, lag(counter) over (partition by event_type order by ts, event_id) as prev
+  from v_counter), v_delta as (select *, case when prev is null then 0 when counter < prev then counter else counter - prev end
+  as delta, case when counter < prev then 1 else 0 end as reset from v_prev)"""
