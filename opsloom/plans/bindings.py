@@ -55,7 +55,10 @@ def _values(string: str):
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_line, line_number, log_file, ts, user_id."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return line_columns(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def line_columns(events: DataFrame) -> DataFrame:
     base = events.selectExpr("event_id", "ts", "user_id", "event_type", "value",
                              *[f"{e} as {n}" for n, e in _values("string")])
     return base.selectExpr(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["logs", "documents", "search", "graph", "entities", "rca", "metrics", "stats"]
+AREAS = ["logs", "documents", "search", "graph", "entities", "rca", "metrics", "stats", "streams"]
 
 
 def catalog() -> dict:

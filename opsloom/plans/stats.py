@@ -141,8 +141,10 @@ def null_cells(spark, d):
 def distinct_values(spark, d):
     """Distinct services, levels and keywords of the log."""
     e = enriched(spark, d)
-    one = e.select(F.lit("service").alias("kind"), c("service_name").alias("value")).union(
-        e.select(F.lit("level"), c("log_level"))).union(e.select(F.lit("keyword"), F.explode("keywords")))
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    one = e.select(F.inline(F.concat(
+        F.array(pair("service", c("service_name")), pair("level", c("log_level"))),
+        F.transform("keywords", lambda k: pair("keyword", k)))))
     return one.distinct()
 
 
