@@ -1,7 +1,7 @@
 """Full-text, vector and hybrid search over tables of questions.
 
-No hints are given on joins: the planner broadcasts a side only when its size
-at run time is under the session's threshold, and shuffles otherwise.
+A side is broadcast on request only after its rows were counted against a
+bound; beyond it the same join shuffles. All other joins are left to the planner.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from opsloom.functions.vectors import certainty
 from opsloom.session import cut_lineage
 
 QUERIES_PER_PASS = 1024
+BROADCAST_ROWS = 200_000
 _DIGITS = 9
 
 
@@ -27,6 +28,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), R.TOKEN_SPLIT), lambda t: t != "")
 
 
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a table of questions is small enough to broadcast; reads no further than the bound."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def best_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. Each task keeps its own first k before the shuffle."""
     numbered = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -44,16 +50,25 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
     sized = words.withColumn("dl", F.size("words"))
     asked = queries.select(F.col(query_id).alias("query_id"),
                            F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+    few = has_at_most(asked, BROADCAST_ROWS)
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = (sized.select("doc_id", "dl", F.explode("words").alias("term"))
-              .join(asked.select("term").distinct(), "term", "left_semi")
+    # outer: an inner explode would infer a filter that splits every text a second time
+    counts = (sized.select("doc_id", "dl", F.explode_outer("words").alias("term"))
+              .join(side(asked.select("term").distinct()), "term", "left_semi")
               .groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
     total, mean = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn(
+    # the frequency reads tf as well, so that both uses of the counts are one and the same shuffle
+    idf = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).withColumn(
         "idf", F.log(1.0 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf, k1, b = F.col("tf"), R.BM25_K1, R.BM25_B
     weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / mean))
-    return (counts.join(asked.join(idf, "term"), "term")
+    # counts of a document come together before they meet the questions, so the
+    # much larger (question, document) sums need no shuffle of their own
+    return (counts.repartition("doc_id").join(side(asked.join(idf, "term")), "term")
             .groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), _DIGITS).alias("score")))
 
 

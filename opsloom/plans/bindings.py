@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -55,7 +57,7 @@ def _values(string: str):
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_line, line_number, log_file, ts, user_id."""
-    return line_columns(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return line_columns(spread(table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def line_columns(events: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ _QUESTION = {
 
 
 def _spark_view(spark, sf_dir, name, columns):
-    return table(spark, sf_dir, name).selectExpr(*[f"{_dialect(e, True)} as {c}" for c, e in columns.items()])
+    return spread(table(spark, sf_dir, name)).selectExpr(*[f"{_dialect(e, True)} as {c}" for c, e in columns.items()])
 
 
 def _sql_view(view, name, columns):
@@ -192,13 +194,18 @@ _ASK = {
 
 
 def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query, asked_service and, where an embedding has that id, its vector."""
+    """query_id, query, asked_service."""
+    return _spark_view(spark, sf_dir, "benchmark", _ASK)
+
+
+def ask_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and vector of the questions that have an embedding of that id."""
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return _spark_view(spark, sf_dir, "benchmark", _ASK).join(vec, "query_id", "left")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(vec, "query_id")
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
 ASKS = _sql_view("v_ask", "benchmark", _ASK) + """,

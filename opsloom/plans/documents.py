@@ -12,6 +12,7 @@ from opsloom.functions.text import clip
 from opsloom.plans import bindings as B
 from opsloom.plans.logs import as_of, sorted_list
 from opsloom.plans.sqltext import any_like, found_list, quote
+from opsloom.session import spread
 
 c = F.col
 
@@ -238,7 +239,7 @@ REQUEST_SQL = f"""with {B.QUESTIONS} select query_id,
 
 # ------------------------------------------------------------------ sensitive data, cleaning, quality
 def _pii(spark, d):
-    docs = B.table(spark, d, "documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"),
+    docs = spread(B.table(spark, d, "documents")).select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("id"),
                                                  c("text").alias("content"), c("source"))
     chats = B.table(spark, d, "conversations").select(
         F.concat(F.lit("c"), c("conv_id").cast("string"), F.lit("_"), c("turn").cast("string")).alias("id"),
@@ -301,7 +302,7 @@ _ANY = quote("(?i)" + "|".join(f"(?:{p})" for p in R.SENSITIVE_PATTERNS.values()
 
 
 def cleaned_documents(spark, d):
-    docs = B.table(spark, d, "documents").select("doc_id", c("text").alias("content"))
+    docs = spread(B.table(spark, d, "documents")).select("doc_id", c("text").alias("content"))
     return P.clean_documents(docs).select("doc_id", "content", F.length("content").alias("n"))
 
 

@@ -304,8 +304,7 @@ where rank <= 5"""
 def three_way_fusion(spark, d):
     """Vector, keyword and graph hits of every question in one weighted list."""
     asks = B.asks(spark, d)
-    vec_asks = asks.filter(c("vector").isNotNull())
-    v = S.similar_rows(B.doc_vectors(spark, d), vec_asks, 10)
+    v = S.similar_rows(B.doc_vectors(spark, d), B.ask_vectors(spark, d), 10)
     t = S.bm25_search(B.documents(spark, d), asks, 10)
     named = asks.select("query_id", F.concat(F.lit("service-"), (c("query_id") % 100)).alias("name"))
     g = S.best_per(named.join(B.mentions(spark, d), "name"), ["query_id", "name"], [F.asc("doc_id")], 3).select(

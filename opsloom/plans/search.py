@@ -25,7 +25,7 @@ def _vec(spark, d):
 
 
 def _ask_vec(spark, d):
-    return B.asks(spark, d).filter(c("vector").isNotNull())
+    return B.ask_vectors(spark, d)
 
 
 def _bm25_sql(name: str, docs: str, asks: str = "v_ask", query: str = "query") -> str:

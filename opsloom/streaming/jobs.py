@@ -129,23 +129,27 @@ def task_progress(stage_events: DataFrame, expire_hours: int = 24) -> DataFrame:
 
 
 def held_alerts(states: DataFrame, hold_seconds: int) -> DataFrame:
-    """Alerts of rules that fire without a break for ``hold_seconds`` (rule, ts, firing), once per break-free stretch."""
+    """Alerts of rules that fire without a break for ``hold_seconds``, once per unbroken stretch.
+
+    Input: rule, ts, firing, one sample per rule and evaluation interval (the
+    result of a windowed aggregation, not raw events), so a batch holds few
+    rows of a rule. They are put in order before they meet the state.
+    """
     hold = hold_seconds * 1_000_000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, told = state.get if state.exists else (None, False)
         out = []
-        # samples of one rule and batch; the stretch start and a flag are all that stays
-        for pdf in batches:
-            for ts, firing in sorted(zip(pdf["ts"], pdf["firing"])):
-                at = ts.value // 1000
-                if not firing:
-                    since, told = None, False
-                    continue
-                since = at if since is None else since
-                if not told and at - since >= hold:
-                    told = True
-                    out.append((key[0], pd.Timestamp(since, unit="us"), pd.Timestamp(at, unit="us")))
+        samples = pd.concat([b[["ts", "firing"]] for b in batches]).sort_values("ts")
+        for ts, firing in zip(samples["ts"], samples["firing"]):
+            at = ts.value // 1000
+            if not firing:
+                since, told = None, False
+                continue
+            since = at if since is None else since
+            if not told and at - since >= hold:
+                told = True
+                out.append((key[0], pd.Timestamp(since, unit="us"), pd.Timestamp(at, unit="us")))
         state.update((since, told))
         if out:
             yield pd.DataFrame(out, columns=["rule", "since", "alerted_at"])
