@@ -10,6 +10,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsloom import rules as R
 
@@ -71,7 +72,7 @@ def encode_texts(df: DataFrame, text: str = "content", out: str = "vector", dims
 def encode_with(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list]], text: str = "content",
                 out: str = "vector") -> DataFrame:
     """Vectors from the user's own encoder, built once per task, called once per Arrow batch."""
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
