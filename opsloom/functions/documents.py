@@ -154,8 +154,9 @@ def chunk_rows(df: DataFrame, chunks: Column) -> DataFrame:
     """One row per chunk with chunk_index, total_chunks and chunk_size."""
     return (
         df.withColumn("_chunks", chunks)
-        .select("*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "chunk"))
-        .withColumn("chunk_size", F.length("chunk")).drop("_chunks")
+        # outer: an inner explode would infer a size filter and cut the text a second time for it
+        .select("*", F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", "chunk"))
+        .filter("chunk_index is not null").withColumn("chunk_size", F.length("chunk")).drop("_chunks")
     )
 
 

@@ -80,12 +80,18 @@ def merge_overlaps(spans: Column, append: bool = False) -> Column:
     return F.aggregate(ordered, start, add)
 
 
+def _span_rows(merged: DataFrame, key: str) -> DataFrame:
+    # outer: an inner explode would infer a size filter and merge the spans a second time for it
+    rows = merged.select(key, F.posexplode_outer("_s").alias("ord", "e")).filter("ord is not null")
+    return rows.select(key, "ord", "e.*")
+
+
 def extract_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ord, text, label, start, end, confidence), one row per entity of each text."""
     spans = _span_function(_TEXT_RULES)(F.col(text))
     merged = docs.select(F.col(doc_id).alias("doc_id"), spans.alias("_s")).select(
         "doc_id", merge_overlaps(F.col("_s")).alias("_s"))
-    return merged.select("doc_id", F.posexplode("_s").alias("ord", "e")).select("doc_id", "ord", "e.*")
+    return _span_rows(merged, "doc_id")
 
 
 def question_entities(questions: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -97,7 +103,7 @@ def question_entities(questions: DataFrame, query_id: str = "query_id", query: s
         s["label"] == "SERVICE", s.withField("text", normalize_service(F.trim(s["text"])))).otherwise(s))
     out = questions.select(F.col(query_id).alias("query_id"), spans.alias("_s")).select("query_id", normal.alias("_s"))
     merged = out.select("query_id", merge_overlaps(F.col("_s"), append=True).alias("_s"))
-    return merged.select("query_id", F.posexplode("_s").alias("ord", "e")).select("query_id", "ord", "e.*")
+    return _span_rows(merged, "query_id")
 
 
 def of_label(entities: DataFrame, prefix: str) -> DataFrame:

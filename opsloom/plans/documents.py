@@ -252,7 +252,8 @@ _PII = """v_pii as (select concat('d', doc_id) as id, text as content, source fr
 
 
 def sensitive_matches(spark, d):
-    found = _pii(spark, d).select("id", F.explode(P.sensitive_matches(c("content"))).alias("pattern", "found"))
+    found = _pii(spark, d).select("id", F.explode_outer(P.sensitive_matches(c("content"))).alias("pattern", "found")).filter(
+        "pattern is not null")
     return found.select("id", "pattern", F.size("found").alias("n"), F.array_join("found", "|").alias("matches"))
 
 

@@ -142,7 +142,7 @@ def distinct_values(spark, d):
     """Distinct services, levels and keywords of the log."""
     e = enriched(spark, d)
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    one = e.select(F.inline(F.concat(
+    one = e.select(F.inline_outer(F.concat(
         F.array(pair("service", c("service_name")), pair("level", c("log_level"))),
         F.transform("keywords", lambda k: pair("keyword", k)))))
     return one.distinct()
