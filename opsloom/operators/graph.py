@@ -289,6 +289,12 @@ def entities_by_word(entities: DataFrame, questions: DataFrame, per_word: int =
     return best_per(first.drop("first"), ["query_id"], [F.asc("word_no"), F.asc("n"), F.asc("name"), F.asc("type")], k)
 
 
+def entities_holding(entities: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """Entities whose name or type holds the whole question, first k by name."""
+    low = query.lower()
+    return entities.filter(F.lower("name").contains(low) | F.lower("type").contains(low)).orderBy("name", "type").limit(k)
+
+
 def documents_of_entities(entities: DataFrame, mentions: DataFrame, docs: DataFrame, per_entity: int | None = None
                           ) -> DataFrame:
     """Mention join: entity (name, type) to the documents that mention it."""

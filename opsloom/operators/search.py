@@ -228,6 +228,26 @@ def rank_fusion(vector_hits: DataFrame, text_hits: DataFrame, alpha: float, cons
     return out if k is None else best_per(out, ["query_id"], [F.desc("hybrid_score"), F.asc("doc_id")], k)
 
 
+def search_rows(docs: DataFrame, k: int, mode: str = "hybrid", where: Column | None = None,
+                questions: DataFrame | None = None, question_vectors: DataFrame | None = None,
+                alpha: float = R.RERANK_ALPHA) -> DataFrame:
+    """Filtered search in one call: ``vector``, ``fulltext`` or ``hybrid``.
+
+    Without question vectors the text side alone answers; without any question
+    the filtered rows come back newest first.
+    """
+    kept = docs if where is None else docs.filter(where)
+    if questions is None and question_vectors is None:
+        return kept.orderBy(F.desc("timestamp"), "doc_id").limit(k)
+    if question_vectors is None or mode == "fulltext":
+        return bm25_search(kept, questions, k)
+    near = similar_rows(kept.filter("vector is not null"), question_vectors, k)
+    near = near.withColumn("score", F.round(certainty(F.col("score")), _DIGITS))
+    if questions is None or mode == "vector":
+        return near
+    return fuse_by_id(near, bm25_search(kept, questions, k), k, alpha)
+
+
 def capped_score(vector: Column, bm25: Column, alpha: float = 0.7, beta: float = 0.3) -> Column:
     return vector * alpha + F.least(bm25 / R.CAPPED_BM25_SCALE, F.lit(1.0)) * beta
 

@@ -275,6 +275,10 @@ def find_entities(spark, d):
     return ents.filter(FL.entity_filter("Service", {"tier": "1"})).select("name", c("props")["nation"].alias("nation"))
 
 
+def entities_holding(spark, d):
+    return G.entities_holding(B.nodes(spark, d), "Service-1").select("name", "type")
+
+
 def suggestions(spark, d):
     """Entity labels that hold the question, then fixed phrases that hold it, five per question."""
     asks = B.table(spark, d, "nation").selectExpr("n_nationkey as query_id", "concat('host-', n_nationkey) as query")
@@ -417,6 +421,8 @@ QUERIES = {
       where type = 'Component' group by 1, 2"""),
     "find_entities": (find_entities, "select concat('service-', s_suppkey) as name, cast(s_nationkey as varchar) as nation "
                       "from supplier where s_suppkey % 3 = 1"),
+    "entities_holding": (entities_holding, f"""with {B.NODES} select name, type from v_node where contains(lower(name), 'service-1')
+      or contains(lower(type), 'service-1') order by name, type limit 10"""),
     "search_suggestions": (suggestions, SUGGEST_SQL),
     "hybrid_three_way": (three_way_fusion, _fusion_sql()),
     "node_upsert": (node_upsert, UPSERT_SQL),

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from opsloom import rules as R
 from opsloom.functions import logs as L
 from opsloom.functions.text import normalize_service, text_key
+from opsloom.operators.filters import search_filter
 from opsloom.plans import bindings as B
 from opsloom.plans.sqltext import any_like, bonus_sum, chain, found_list, quote, ts_text
 
+c = F.col
+
+
 def as_of():
     return F.lit(B.AS_OF).cast("timestamp")
 
@@ -306,6 +310,25 @@ def service_name_forms(spark, d):
     return forms.groupBy(normalize_service(F.col("name")).alias("service")).agg(F.count("*").alias("n"))
 
 
+def flat_log_rows(spark, d):
+    """Flat loader: lines of the strict layout as ``[LEVEL] service: message`` with four keyword rules."""
+    rows = parsed_lines(spark, d).filter((c("pattern_used") == "standard") & c("log_file").endswith(".log"))
+    low = F.lower("message")
+    words = F.array_compact(F.array(
+        F.when(c("message").contains("CPU"), F.lit("CPU")), F.when(low.contains("error"), F.lit("error")),
+        F.when(low.contains("timeout"), F.lit("timeout")), F.nullif("service_name", F.lit(""))))
+    return rows.select("line_number", F.format_string("[%s] %s: %s", "level", "service_name", "message").alias("content"),
+                       F.array_join(words, ",").alias("keywords"))
+
+
+def filtered_entries(spark, d):
+    """Closed time range, services and levels in one filter over parsed entries."""
+    e = enriched(spark, d)
+    kept = e.filter(search_filter(service=["service-a", "service-b"], level=["ERROR", "WARN"],
+                                  times=(F.lit("2024-01-05 00:00:00").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))))
+    return kept.select("line_number", "service_name", "log_level", "severity_score")
+
+
 def text_keys(spark, d):
     return B.table(spark, d, "documents").select("doc_id", text_key(F.col("text")).alias("text_md5"))
 
@@ -339,6 +362,13 @@ QUERIES = {
       concat('[', level, '] ', service_name) as title,
       array_to_string(list_concat([incident_id, problem_type, concat('service:', primary_service)],
         {_KEYWORDS}), ',') as tags, incident_id, problem_type from f"""),
+    "flat_log_rows": (flat_log_rows, f"""with {LINES_SQL} select line_number, concat('[', level, '] ', service_name, ': ', message)
+      as content, array_to_string(list_filter([case when contains(message, 'CPU') then 'CPU' end, case when contains(lower(message),
+      'error') then 'error' end, case when contains(lower(message), 'timeout') then 'timeout' end, nullif(service_name, '')],
+      lambda x: x is not null), ',') as keywords from lines where pattern_used = 'standard'"""),
+    "filtered_entries": (filtered_entries, f"""with {DERIVED_SQL} select line_number, service_name, log_level, severity_score
+      from derived where service_name in ('service-a', 'service-b') and log_level in ('ERROR', 'WARN')
+      and ts_text between '2024-01-05 00:00:00.000' and '2024-01-20 00:00:00.000'"""),
     "log_foreign_layouts": (foreign_layouts, _foreign_sql()),
     "service_name_normalization": (service_name_forms, r"""with f as (select concat(
       ['Service ', 'service_', 'SERVICE-', 'service'][cast(event_id % 4 + 1 as int)],

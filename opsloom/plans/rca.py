@@ -265,6 +265,13 @@ def first_recommendations(spark, d):
     return C.first_recommendations(_relevance(spark, d))
 
 
+def evidence_package(spark, d):
+    """Ten logs, five documents and five entities of each question by relevance."""
+    few = F.when(c("result_type") == "log", 10).otherwise(5)
+    rows = S.best_per(_relevance(spark, d), ["query_id", "result_type"], [F.desc("relevance"), F.asc("item_id")], 10)
+    return rows.filter(c("rank") <= few).select("query_id", "result_type", "item_id", "rank")
+
+
 def key_information(spark, d):
     asks, kb = B.asks(spark, d), B.documents(spark, d)
     hits = S.bm25_search(kb, asks, 5).join(kb.select("doc_id", "title", "content"), "doc_id")
@@ -329,6 +336,9 @@ QUERIES = {
       select query_id, '检查错误日志' as action, 'high' as priority, e as found from n where e > 0
       union all select query_id, '参考相关文档', 'medium', k from n where k > 0
       union all select query_id, '检查相关组件', 'medium', t from n where t > 0"""),
+    "evidence_package": (evidence_package, f"""{BASE}, {RELEVANCE_CTE} select query_id, result_type, item_id, rank from (select *,
+      row_number() over (partition by query_id, result_type order by relevance desc, item_id) as rank from rel)
+      where rank <= case result_type when 'log' then 10 else 5 end"""),
     "key_information": (key_information, None),
     "incident_timeline": (incident_timeline, TIMELINE_SQL),
 }

@@ -251,6 +251,20 @@ def log_search_plain(spark, d):
                                                                          "line_number")
 
 
+def filtered_hybrid(spark, d):
+    """One call: filters on level and source, then vector and text hits fused."""
+    rows = _kb(spark, d).join(_vec(spark, d), "doc_id", "left")
+    hits = S.search_rows(rows, K, "hybrid", FL.search_filter(source_type=["wiki", "jira"], level=["ERROR", "WARN"]),
+                         B.asks(spark, d), _ask_vec(spark, d))
+    return hits.select("query_id", "doc_id", _r("final_score"), "search_source", "rank")
+
+
+FILTERED_HYBRID_SQL = f"""{BASE}, kept as (select doc_id, content from v_kb where source_type in ('wiki', 'jira') and log_level in
+  ('ERROR', 'WARN')), {_bm25_sql('bk', 'kept')}, vk as (select vec.* from vec join kept using (doc_id)),
+{_LISTS.replace("from vec ", "from vk ").replace("from bm ", "from bk ")}, {_HYBRID}, {_top_sql('t', 'fused', K, 'final_score')}
+select query_id, doc_id, round(final_score, 6) as final_score, search_source, rank from t"""
+
+
 def leader_clusters(spark, d):
     items = B.table(spark, d, "embeddings").select(c("vec_id").alias("item_id"), c("embedding").alias("vector"))
     return S.leader_clusters(items, 0.3)
@@ -327,6 +341,7 @@ QUERIES = {
     "log_search_plain": (log_search_plain, f"""with {B.DOCUMENTS} select doc_id, service_name, log_level, line_number
       from v_kb where service_name in ('service-a', 'service-b') and log_level in ('ERROR', 'WARN')
       order by line_number desc, doc_id limit 100"""),
+    "filtered_hybrid": (filtered_hybrid, FILTERED_HYBRID_SQL),
     "leader_clusters": (leader_clusters, None),
     "text_clusters": (text_clusters, None),
     "text_vectors": (text_vectors, None),
