@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +66,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session, wherever the driver was started."""
+    if spark.conf.get("spark.opsloom.shipped", None):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="opsloom-"), "opsloom"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.opsloom.shipped", "true")
