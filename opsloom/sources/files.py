@@ -45,7 +45,9 @@ def good_rows(df: DataFrame) -> DataFrame:
 def scan_statistics(df: DataFrame) -> DataFrame:
     """Files, rows and bad files of a JSON scan."""
     bad = F.col(CORRUPT).isNotNull()
-    return df.groupBy("file_name").agg(F.sum(F.when(bad, 0).otherwise(1)).alias("rows"), F.max(bad.cast("int")).alias("bad")).agg(
+    # Spark refuses a JSON scan that reads the corrupt-record column alone, so a data column is read along
+    one = F.least(F.lit(1), F.length(F.coalesce(F.col(df.columns[0]), F.lit(""))) + 1)
+    return df.groupBy("file_name").agg(F.sum(F.when(bad, 0).otherwise(one)).alias("rows"), F.max(bad.cast("int")).alias("bad")).agg(
         F.count("*").alias("files"), F.sum("rows").alias("documents"), F.sum("bad").alias("errors"))
 
 
@@ -68,7 +70,7 @@ def read_incidents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str, category: str = "知识文档", tags: tuple[str, ...] = ("markdown",)) -> DataFrame:
     """One document per file, title from the file name. A document is one row, however it is read."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    return (spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
             .select(F.regexp_extract("_metadata.file_name", r"^(.*)\.md$", 1).alias("title"), F.col("value").alias("content"))
             .withColumns({"id": F.col("title"), "category": F.lit(category), "tags": F.array(*[F.lit(t) for t in tags]),
                           "author": F.lit(None).cast("string"), "last_updated": F.lit(None).cast("timestamp")}))

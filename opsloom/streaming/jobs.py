@@ -73,6 +73,31 @@ def write_batches(df: DataFrame, base: str, mode: str = "append", routes: dict[s
             .trigger(availableNow=True).start())
 
 
+def write_with_late(df: DataFrame, base: str, ts: str = "timestamp", delay_seconds: int = 600) -> StreamingQuery:
+    """Rows to ``rows``; those more than ``delay_seconds`` behind the newest time of earlier batches to ``late``.
+
+    Each batch also writes its newest time, so a repeated batch decides the same way.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id > 0:
+            seen = spark.read.option("basePath", f"{base}/newest").parquet(f"{base}/newest/batch_id=*")
+            newest = seen.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        edge = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds))
+        late = F.lit(False) if newest is None else F.coalesce(F.col(ts) < edge, F.lit(False))
+        kept = batch.persist()
+        try:
+            kept.filter(~late).write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
+            kept.filter(late).write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
+            kept.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
+
+    return (df.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{base}/_checkpoint")
+            .trigger(availableNow=True).start())
+
+
 def read_batches(spark: SparkSession, base: str, name: str = "rows") -> DataFrame:
     """Rows of all batches with their batch id."""
     return spark.read.option("basePath", f"{base}/{name}").parquet(f"{base}/{name}/batch_id=*")

@@ -88,3 +88,25 @@ def test_stream_hold(spark, tmp_path):
     J.write_batches(J.held_alerts(stream, 120), str(tmp_path / "out")).awaitTermination()
     rows = J.read_batches(spark, str(tmp_path / "out")).collect()
     assert [(r.since, r.alerted_at) for r in rows] == [(t0 + timedelta(minutes=3), t0 + timedelta(minutes=5))]
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "timestamp timestamp, n int"
+    for mode, rows in (("append", [("12:00:00", 1), ("11:00:00", 2)]), ("append", [("11:55:00", 3), ("11:30:00", 4), ("12:30:00", 5)])):
+        df = spark.createDataFrame([(datetime.fromisoformat(f"2024-01-01T{t}"), n) for t, n in rows], schema)
+        df.coalesce(1).write.mode(mode).parquet(str(src))
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        J.write_with_late(stream, out).awaitTermination()
+    assert sorted(r.n for r in J.read_batches(spark, out).collect()) == [1, 2, 3, 5]
+    assert [r.n for r in J.read_batches(spark, out, "late").collect()] == [4]
+
+
+def test_three_targets_and_months(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "wiki", "text", ["service:x"], datetime(2024, 3, 1)), ("b", "wiki", "t", ["service:x"], datetime(2024, 4, 1))],
+                                 "source_id string, source_type string, content string, entities array<string>, timestamp timestamp")
+    sinks.load_targets(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t" / "mention")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "t" / "registry")).count() == 2
+    sinks.write_by_month(rows, str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h")).filter("year = 2024 and month = 4").count() == 1
