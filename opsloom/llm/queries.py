@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from opsloom.llm.binary_output import op10_token_shards
+from opsloom.llm.language import op3_language_id
 from opsloom.llm.mixing import op6_cube_mix
 from opsloom.llm.packing import op5_mixture_packing
+from opsloom.llm.simhash import op2_simhash_pivots
+from opsloom.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_simhash_pivots": (op2_simhash_pivots, None),
+    "op3_language_id": (op3_language_id, None),
     "op5_mixture_packing": (op5_mixture_packing, None),
     "op6_cube_mix": (op6_cube_mix, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_token_shards": (op10_token_shards, None),
 }
