@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from opsloom.llm.binary_output import op10_token_shards
 from opsloom.llm.language import op3_language_id
+from opsloom.llm.maxscore import OP8_SQL, op8_maxscore
 from opsloom.llm.mixing import op6_cube_mix
+from opsloom.llm.neighbours import op1_learned_partitions
 from opsloom.llm.packing import op5_mixture_packing
 from opsloom.llm.simhash import op2_simhash_pivots
 from opsloom.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_learned_partitions": (op1_learned_partitions, None),
     "op2_simhash_pivots": (op2_simhash_pivots, None),
     "op3_language_id": (op3_language_id, None),
     "op5_mixture_packing": (op5_mixture_packing, None),
     "op6_cube_mix": (op6_cube_mix, None),
+    "op8_maxscore": (op8_maxscore, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_token_shards": (op10_token_shards, None),
 }
