@@ -111,11 +111,11 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as c from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c from embeddings
            where vec_id is not null and embedding is not null
-             and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, d.vec_id,
-             cast(list_sum(list_transform(range(1, len(q.c) + 1), i -> q.c[i] * d.c[i])) as bigint) as score
+             cast(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * d.c[i])) as bigint) as score
       from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5

@@ -23,13 +23,14 @@ RECALL = 0.97
 FOUND = "query_id long, vec_id long, score double"
 
 
-def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
-    """The ``degree`` largest inner products of each row, itself left out."""
-    out = np.empty((len(x), degree), np.int64)
-    for a in range(0, len(x), 512):
-        s = x[a:a + 512] @ x.T
+def neighbour_graph(x: np.ndarray, degree: int, rows: int | None = None) -> np.ndarray:
+    """The ``degree`` largest inner products of the first ``rows`` rows, themselves left out."""
+    rows = len(x) if rows is None else min(rows, len(x))
+    out = np.empty((rows, degree), np.int64)
+    for a in range(0, rows, 512):
+        s = x[a:min(a + 512, rows)] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a:a + 512] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+        out[a:a + len(s)] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
     return out
 
 
@@ -121,7 +122,7 @@ def learn(x: np.ndarray, parts: int = PARTS, degree: int = DEGREE, recall: float
         router.weights = router.weights - 0.3 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
     home = router.home(unit)
     tried = unit[:512]
-    truth = neighbour_graph(unit, min(k, len(unit) - 1))[:len(tried)]
+    truth = neighbour_graph(unit, min(k, len(unit) - 1), len(tried))
     masses = [0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995]
     for mass in masses:
         reached = np.take_along_axis(router.probes(tried, mass), home[truth], axis=1).mean()

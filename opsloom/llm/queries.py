@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from opsloom.llm.binary_output import op10_token_shards
 from opsloom.llm.language import op3_language_id
+from opsloom.llm.licenses import OP4_SQL, op4_license_scan
 from opsloom.llm.maxscore import OP8_SQL, op8_maxscore
 from opsloom.llm.mixing import op6_cube_mix
 from opsloom.llm.neighbours import op1_learned_partitions
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_learned_partitions": (op1_learned_partitions, None),
     "op2_simhash_pivots": (op2_simhash_pivots, None),
     "op3_language_id": (op3_language_id, None),
+    "op4_license_scan": (op4_license_scan, OP4_SQL),
     "op5_mixture_packing": (op5_mixture_packing, None),
     "op6_cube_mix": (op6_cube_mix, None),
     "op8_maxscore": (op8_maxscore, OP8_SQL),
