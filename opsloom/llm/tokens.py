@@ -20,7 +20,7 @@ from opsloom.llm.common import batch_of, sliced
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Ids kept per worker; a worker starts anew beyond it.
-CACHED = 2_000_000
+CACHED = 600_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _EDGE = r"\n -&(-@\[-`{-~"
 #: A word that every pre-tokenizer of this kind cuts out whole: letters up to a plain ASCII sign, with the blank before
@@ -84,7 +84,7 @@ def cached_encoder(name: str) -> Callable[[str], bytes]:
     if name not in _loaded:
         _loaded.clear()
         _loaded[name] = encoder(name if os.path.sep in name else public_tokenizers.path(name))
-        gc.disable()  # millions of small kept objects, no cycles
+        gc.set_threshold(500_000, 50, 100)  # many small kept objects, hardly any cycles
     return _loaded[name]
 
 
