@@ -10,6 +10,7 @@ from opsloom.llm.mixing import op6_cube_mix
 from opsloom.llm.neighbours import op1_learned_partitions
 from opsloom.llm.packing import op5_mixture_packing
 from opsloom.llm.simhash import op2_simhash_pivots
+from opsloom.llm.suffixes import op7_suffix_dedup
 from opsloom.llm.toxicity import op9_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_license_scan": (op4_license_scan, OP4_SQL),
     "op5_mixture_packing": (op5_mixture_packing, None),
     "op6_cube_mix": (op6_cube_mix, None),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_maxscore": (op8_maxscore, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_token_shards": (op10_token_shards, None),
