@@ -111,11 +111,13 @@ class Schedule:
             b += 1
 
 
-PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, row_id long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 1, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
-    """Pieces of all documents in sequences of ``window`` tokens; ``ids`` are a piece's little-endian 32-bit ids.
+    """Pieces of all documents in sequences of ``window`` tokens. ``ids`` are a piece's little-endian 32-bit ids.
+
+    ``row_id`` tells the rows of one doc_id apart.
 
     Queues hold a source's documents in order of doc_id. Every window gets the
     sources in the shares of their tokens, up to LEAST tokens that a source
@@ -133,21 +135,22 @@ def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 1, window: in
     base = per.select(F.col("part").alias("p"), F.col("source").alias("s"),
                       (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"))
     placed = rows.join(base, (rows["part"] == base["p"]) & rows["source"].eqNullSafe(base["s"])).select(
-        "doc_id", "source", "n", (F.col("base") + F.col("before")).alias("at"), "width", "ids")
+        "doc_id", "source", "n", (F.col("base") + F.col("before")).alias("at"), "width", "ids",
+        F.expr("shiftleft(cast(part as bigint), 40) + row").alias("row_id"))
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
-                       + [("source", pa.string()), ("ids", pa.binary())])
+                       + [("source", pa.string()), ("row_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Schedule(totals, window)
         names = [f.name for f in schema]
         for batch in batches:
             out: list[tuple] = []
-            for doc, source, n, at, width, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n", "at", "width", "ids"))):
+            for doc, source, n, at, width, ids, row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n", "at", "width", "ids", "row_id"))):
                 data = memoryview(wide(ids, width).tobytes())
                 for first, length, sequence, offset in plan.pieces(number[source], at, n):
                     start = first - at
                     own = data[4 * start:4 * (start + length)]
-                    out.append((doc, start, length, zlib.crc32(own), n, sequence, offset, source, bytes(own) if with_ids else None))
+                    out.append((doc, start, length, zlib.crc32(own), n, sequence, offset, source, row, bytes(own) if with_ids else None))
                 if len(out) > 50_000:
                     yield batch_of(schema, dict(zip(names, zip(*out))))
                     out = []
