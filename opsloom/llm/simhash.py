@@ -62,7 +62,7 @@ def _masks(level: int) -> list[int]:
     of the bits that its parent leaves out, again one at least being free.
     Key i of a level has the parent i // 4.
     """
-    blocks = [sum(1 << b for b in part) for part in np.array_split(np.arange(64), 5)]
+    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), 5)]
     masks = [a | b for a, b in combinations(blocks, 2)]
     for _ in range(level):
         masks = [m | sum(1 << int(b) for b in part) for m in masks
