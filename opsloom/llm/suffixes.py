@@ -67,6 +67,11 @@ def _starts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.repeat(first, np.diff(np.append(first, len(order))))
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. for each pair, one after the other."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 def lyndon_groups(text: np.ndarray, length: np.ndarray) -> np.ndarray:
     """For every suffix where the group of its Lyndon prefix begins in the suffix array.
 
@@ -118,20 +123,27 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
             break
     live = np.flatnonzero(~mark)
     order, start = _starts([repeats[live], group[live]])
-    sub = np.empty(len(text), np.int64)  # group and repeats as one number: where the members begin
-    sub[live[order]] = start
-    rank = np.full(len(text), -2, np.int64)
-    rank[mark] = -1
     members = live[order]
-    while len(members):
-        begin = np.flatnonzero(np.diff(sub[members], prepend=-1))
-        sizes = np.diff(np.append(begin, len(members)))
-        ready = np.repeat((sizes == 1) | np.logical_and.reduceat(rank[behind[members]] != -2, begin), sizes)
-        now = members[ready]
-        order, first = _starts([rank[behind[now]], sub[now]])
-        _, base = _starts([sub[now]])
-        rank[now[order]] = sub[now[order]] + first - base
-        members = members[~ready]
+    begin = np.flatnonzero(np.diff(start, prepend=-1))
+    sizes = np.diff(np.append(begin, len(members)))
+    sub = np.full(len(text), -1, np.int64)  # number of the group, split by repeats
+    sub[members] = np.repeat(np.arange(len(begin)), sizes)
+    rank = np.full(len(text), -1, np.int64)
+    waits = ~mark[behind[live]]
+    before = live[waits][np.argsort(behind[live[waits]], kind="stable")]  # by the remainder they wait for
+    waiting = np.bincount(behind[before], minlength=len(text))
+    offset = np.cumsum(waiting) - waiting
+    open_ = np.bincount(sub[before], minlength=len(begin))
+    ready = np.flatnonzero((sizes == 1) | (open_ == 0))
+    while len(ready):
+        now = members[_ranges(begin[ready], sizes[ready])]
+        order, first = _starts([rank[behind[now]], sub[now]]) if sizes[ready].max() > 1 else (np.arange(len(now)), np.arange(len(now)))
+        now, base = now[order], np.repeat(np.cumsum(sizes[ready]) - sizes[ready], sizes[ready])
+        rank[now] = np.repeat(begin[ready], sizes[ready]) + first - base
+        freed = sub[before[_ranges(offset[now], waiting[now])]]
+        freed = freed[sizes[freed] > 1]
+        np.subtract.at(open_, freed, 1)
+        ready = np.unique(freed[open_[freed] == 0])
     return rank
 
 
