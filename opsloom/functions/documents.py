@@ -121,33 +121,35 @@ def pack_sentences(content: Column, size: int = R.CHUNK_SIZE, end: str = R.SENTE
 
 def pack_with_overlap(content: Column, size: int = 512, overlap: int = 50,
                       sentence: str = r"[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$", style: str = "tail") -> Column:
-    """Chunks that repeat some text of the one before.
+    """Chunks that repeat some text of the one before; every character is in some chunk.
 
+    A sentence over ``size`` is cut into pieces of ``size``, as many as it takes.
     ``style='tail'``: a new chunk starts with the last ``overlap`` characters of
-    the chunk before; a sentence over ``size`` that opens a chunk is cut.
-    ``style='sentence'``: a new chunk starts with the last ``overlap``
-    characters of its own first sentence, and the last chunk is not written, as
-    specified for the 1000/100 form.
+    the chunk before. ``style='sentence'``: a new chunk starts with the last
+    ``overlap`` characters of its own first sentence, as specified for the
+    1000/100 form. The last chunk is written in both.
     """
     state = F.struct(F.array().cast(_NONE).alias("done"), F.lit("").alias("open"))
     tail = style == "tail"
 
+    def pieces(s: Column) -> Column:
+        count = F.greatest(F.ceil(F.length(s) / size).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substr(s, k * size + 1, F.lit(size)))
+
     def add(acc: Column, s: Column) -> Column:
         longer = F.concat(acc["open"], s)
-        fits, opened = F.length(longer) <= size, acc["open"] != ""
+        fits = F.length(longer) <= size
         written = strip(acc["open"]) if tail else acc["open"]
         restart = F.concat(F.right(acc["open"] if tail else s, F.lit(overlap)), s)
-        fresh = F.substring(s, 1, size) if tail else F.lit("")
-        return F.struct(
-            F.when(~fits & opened, F.array_append(acc["done"], written)).otherwise(acc["done"]).alias("done"),
-            F.when(fits, longer).when(opened, restart).otherwise(fresh).alias("open"))
+        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], written)).alias("done"),
+                        F.when(fits, longer).otherwise(restart).alias("open"))
 
     def close(acc: Column) -> Column:
-        if not tail:
-            return acc["done"]
-        return F.when(acc["open"] != "", F.array_append(acc["done"], strip(acc["open"]))).otherwise(acc["done"])
+        last = strip(acc["open"]) if tail else acc["open"]
+        return F.when(acc["open"] != "", F.array_append(acc["done"], last)).otherwise(acc["done"])
 
-    return F.aggregate(F.regexp_extract_all(content, F.lit(sentence), F.lit(0)), state, add, close)
+    sentences = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(sentence), F.lit(0)), pieces))
+    return F.aggregate(sentences, state, add, close)
 
 
 def chunk_rows(df: DataFrame, chunks: Column) -> DataFrame:

@@ -75,11 +75,19 @@ def clean_text(content: Column) -> Column:
     return strip(F.regexp_replace(plain, r"\s+", " "))
 
 
-def clean_documents(df: DataFrame, content: str = "content") -> DataFrame:
-    """Normalize, drop texts of the wrong length, redact. Whole texts, row by row."""
+def clean_documents(df: DataFrame, content: str = "content", least: int | None = None, most: int | None = None) -> DataFrame:
+    """Normalize and redact whole texts; adds ``kept`` and, for refused texts, the ``reason``.
+
+    Without bounds every text is kept. Refused rows stay in the result.
+    """
     out = df.withColumn(content, clean_text(F.col(content)))
-    kept = out.filter(F.length(content).between(R.MIN_CONTENT, R.MAX_CONTENT))
-    return kept.withColumn(content, sanitize(F.col(content)))
+    reason = F.lit(None).cast("string")
+    if most is not None:
+        reason = F.when(F.length(content) > most, "too long").otherwise(reason)
+    if least is not None:
+        reason = F.when(F.coalesce(F.length(content), F.lit(0)) < least, "too short").otherwise(reason)
+    out = out.withColumn("reason", reason)
+    return out.withColumns({"kept": F.col("reason").isNull(), content: sanitize(F.col(content))})
 
 
 def completeness(required: list[Column], optional: list[Column]) -> Column:

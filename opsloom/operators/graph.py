@@ -162,47 +162,38 @@ def many_dependencies(edges: DataFrame, types: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ inference over shared groups
-def shared_groups(members: DataFrame, group: str, member: str, small: int = 32) -> DataFrame:
-    """Who shares a group with whom, without forming all pairs of a big group.
-
-    Groups of at most ``small`` members give (kind ``pair``, left, right,
-    evidence): ordered pairs with the number of such groups they share. A bigger
-    group stays as it is, one row per member (kind ``group``, left = group,
-    right = member). Nothing is lost: the evidence of two members is their pair
-    row plus the number of big groups that hold both, see ``shared_evidence``.
-    Output is linear in the input, whatever the size of a group.
+def shared_groups(members: DataFrame, group: str, member: str) -> DataFrame:
+    """Distinct (group, member) with the group's size, for groups of two members or more.
+
+    One row per member, whatever the size of a group, and no pairs. Two members
+    are related by each group that holds both: ``shared_evidence`` counts that
+    for asked pairs, ``shared_total`` for all.
     """
-    one = members.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    size = one.groupBy("g").agg(F.count("*").alias("size"))
-    sized = one.join(size, "g")
-    little, big = sized.filter(F.col("size") <= small), sized.filter(F.col("size") > small)
-    pairs = (little.select("g", F.col("m").alias("left")).join(little.select("g", F.col("m").alias("right")), "g")
-             .filter("left <> right").groupBy("left", "right").agg(F.count("*").alias("evidence")))
-    return pairs.select(F.lit("pair").alias("kind"), "left", "right", "evidence").unionByName(
-        big.select(F.lit("group").alias("kind"), F.col("g").alias("left"), F.col("m").alias("right"),
-                   F.lit(1).cast("bigint").alias("evidence")))
+    one = members.select(F.col(group).alias("group"), F.col(member).alias("member")).distinct()
+    size = one.groupBy("group").agg(F.count("*").alias("size")).filter("size > 1")
+    return one.join(size, "group")
 
 
 def shared_evidence(shared: DataFrame, asked: DataFrame) -> DataFrame:
-    """Evidence of asked pairs (left, right) from both kinds of rows."""
-    direct = asked.join(shared.filter("kind = 'pair'").select("left", "right", "evidence"), ["left", "right"])
-    big = shared.filter("kind = 'group'").select(F.col("left").alias("g"), F.col("right").alias("m"))
-    common = (asked.join(big.withColumnRenamed("m", "left"), "left")
-              .join(big.withColumnRenamed("m", "right"), ["g", "right"]).groupBy("left", "right")
-              .agg(F.count("*").alias("evidence")))
-    return (direct.select("left", "right", "evidence").unionByName(common)
-            .groupBy("left", "right").agg(F.sum("evidence").alias("evidence")))
+    """Groups that asked pairs (left, right) share."""
+    both = shared.select("group", "member")
+    return (asked.join(both.withColumnRenamed("member", "left"), "left").join(both.withColumnRenamed("member", "right"), ["group", "right"])
+            .groupBy("left", "right").agg(F.count("*").alias("evidence")))
+
+
+def shared_total(shared: DataFrame) -> DataFrame:
+    """Relations in all: one for each group and ordered pair of its members."""
+    return shared.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("n"))
 
 
-def potential_dependencies(affects: DataFrame, small: int = 32) -> DataFrame:
-    """Components hit by one issue may depend on each other: confidence 0.5, repeats counted."""
-    return shared_groups(affects, "issue", "component", small).withColumns({
-        "confidence": F.lit(0.5), "evidence_count": F.col("evidence") - 1})
+def potential_dependencies(affects: DataFrame) -> DataFrame:
+    """Components hit by one issue may depend on each other: confidence 0.5."""
+    return shared_groups(affects, "issue", "component").withColumn("confidence", F.lit(0.5))
 
 
-def collocated(deployed: DataFrame, small: int = 32) -> DataFrame:
+def collocated(deployed: DataFrame) -> DataFrame:
     """Services on one host: confidence 0.8."""
-    return shared_groups(deployed, "host", "service", small).withColumn("confidence", F.lit(0.8))
+    return shared_groups(deployed, "host", "service").withColumn("confidence", F.lit(0.8))
 
 
 def issue_patterns(affects: DataFrame) -> DataFrame:

@@ -93,19 +93,29 @@ def firing(values: DataFrame, rules: DataFrame, metric: str = "metric", value: s
     return values.join(rules.filter("enabled"), metric).withColumn("firing", test)
 
 
-def alert_spans(states: DataFrame, keys: list[str], order: list[str], ts: str = "ts") -> DataFrame:
-    """Spans of unbroken firing: trigger time, last time, number of samples."""
+def _firing_spans(states: DataFrame, keys: list[str], order: list[str], ts: str) -> DataFrame:
+    """Adds ``span``, the number of the unbroken stretch of firing."""
     flagged = T.previous(states, keys, T.time_bucket(ts, HOUR), order, "firing", "_before")
     opens = F.when(F.col("firing") & ~F.coalesce("_before", F.lit(False)), 1).otherwise(0)
-    spans = T.running_sum(flagged, keys, T.time_bucket(ts, HOUR), [F.col(o) for o in order], opens, "span")
+    return T.running_sum(flagged, keys, T.time_bucket(ts, HOUR), [F.col(o) for o in order], opens, "span").drop("_before")
+
+
+def alert_spans(states: DataFrame, keys: list[str], order: list[str], ts: str = "ts") -> DataFrame:
+    """Spans of unbroken firing: trigger time, last time, number of samples."""
+    spans = _firing_spans(states, keys, order, ts)
     return spans.filter("firing").groupBy(*keys, "span").agg(
         F.min(ts).alias("triggered_at"), F.max(ts).alias("last_at"), F.count("*").alias("samples"))
 
 
 def held(states: DataFrame, keys: list[str], seconds: int, ts: str = "ts") -> DataFrame:
-    """Adds ``alert``: the rule fired on every sample of the last ``seconds``."""
-    return T.over_last(states.withColumn("_f", F.col("firing").cast("int")), keys, ts, seconds,
-                       _all=F.min("_f")).withColumn("alert", F.col("_all") == 1).drop("_f", "_all")
+    """Adds ``alert``: the rule fires, and has done so without a break for ``seconds`` at least.
+
+    A single firing sample is no alert. The streaming form follows the same rule.
+    """
+    spans = _firing_spans(states, keys, [ts], ts)
+    since = spans.filter("firing").groupBy(*keys, "span").agg(F.min(ts).alias("_since"))
+    long = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp")) >= seconds * 1_000_000
+    return spans.join(since, [*keys, "span"], "left").withColumn("alert", F.col("firing") & F.coalesce(long, F.lit(False))).drop("span", "_since")
 
 
 def sliding_monitor(samples: DataFrame, size: str, slide: str, value: str = "value", failed: Column | None = None,

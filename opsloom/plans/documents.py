@@ -31,8 +31,8 @@ def wiki_chunks(spark, d):
 
 
 _WIKI_KEYS = sorted_list("tags", found_list("lower(chunk)", R.WIKI_TECH_WORDS), found_list("chunk", R.WIKI_OPS_WORDS))
-_WIKI_ENTS = sorted_list(f"list_transform(regexp_extract_all(lower(chunk), '{R.WIKI_SERVICES[0]}'), "
-                         "lambda v: concat('service:', v))", found_list("lower(chunk)", R.WIKI_TECH, "technology:"))
+_WIKI_ENTS = sorted_list(*[f"list_transform(regexp_extract_all(lower(chunk), '{p}'), lambda v: concat('service:', v))"
+                           for p in R.WIKI_SERVICES], found_list("lower(chunk)", R.WIKI_TECH, "technology:"))
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 WIKI_SQL = f"""with recursive {B.DOCUMENTS},
 sent as (select doc_id, string_split(content, '.') as s from v_kb where length(content) > 512),
@@ -63,13 +63,13 @@ def overlap_chunks(spark, d):
 
 _SENTENCE = r"[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$"
 OVERLAP_SQL = f"""with recursive {B.DOCUMENTS},
-sent as (select doc_id, regexp_extract_all(content, '{_SENTENCE}') as s from v_kb),
+sent as (select doc_id, flatten(list_transform(regexp_extract_all(content, '{_SENTENCE}'), lambda x:
+  list_transform(range(greatest(1, cast(ceil(length(x) / 512.0) as bigint))), lambda k: substr(x, k * 512 + 1, 512)))) as s from v_kb),
 pack as (
   select doc_id, s, 0 as i, '' as open, cast(null as varchar) as done, 0 as n from sent
   union all
   select doc_id, s, i + 1,
-    case when length(concat(open, s[i + 1])) <= 512 then concat(open, s[i + 1])
-         when open <> '' then concat(right(open, 50), s[i + 1]) else substr(s[i + 1], 1, 512) end,
+    case when length(concat(open, s[i + 1])) <= 512 then concat(open, s[i + 1]) else concat(right(open, 50), s[i + 1]) end,
     case when length(concat(open, s[i + 1])) > 512 and open <> '' then open end,
     n + case when done is not null then 1 else 0 end
   from pack where i < len(s))
@@ -304,7 +304,9 @@ _ANY = quote("(?i)" + "|".join(f"(?:{p})" for p in R.SENSITIVE_PATTERNS.values()
 
 def cleaned_documents(spark, d):
     docs = spread(B.table(spark, d, "documents")).select("doc_id", c("text").alias("content"))
-    return P.clean_documents(docs).select("doc_id", "content", F.length("content").alias("n"))
+    """Every text with its verdict; refused ones keep their cleaned form."""
+    return P.clean_documents(docs, least=R.MIN_CONTENT, most=R.MAX_CONTENT).select(
+        "doc_id", "content", F.length("content").alias("n"), "kept", "reason")
 
 
 _SAN = "content"
@@ -312,8 +314,9 @@ for _n, _p in R.SANITIZE_PATTERNS:
     _SAN = f"regexp_replace({_SAN}, {quote('(?i)' + _p)}, '[REDACTED_{_n.upper()}]', 'g')"
 CLEAN_SQL = rf"""with x as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text,
   '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') as content from documents),
-y as (select doc_id, {_SAN} as content from x where length(content) between 10 and 100000)
-select doc_id, content, length(content) as n from y"""
+y as (select doc_id, {_SAN} as content, case when length(content) < 10 then 'too short' when length(content) > 100000 then 'too long' end
+  as reason from x)
+select doc_id, content, length(content) as n, reason is null as kept, reason from y"""
 
 
 def document_quality(spark, d):

@@ -149,36 +149,33 @@ def valid_relations(spark, d):
 
 
 def potential_dependencies(spark, d):
-    return G.potential_dependencies(B.affects(spark, d), 8)
+    return G.potential_dependencies(B.affects(spark, d))
 
 
-def _shared_sql(source, group, member, small, extra):
+def _shared_sql(source, group, member, confidence):
     return f"""one as (select distinct {group} as g, {member} as m from {source}),
-    sized as (select g, m, count(*) over (partition by g) as size from one),
-    sh as (select 'pair' as kind, a.m as "left", b.m as "right", count(*) as evidence from sized a join sized b using (g)
-        where a.m <> b.m and a.size <= {small} group by 2, 3
-      union all select 'group', g, m, 1 from sized where size > {small})
-    select kind, "left", "right", evidence, {extra} from sh"""
+    sized as (select g, m, count(*) over (partition by g) as size from one)
+    select g as "group", m as member, size, cast({confidence} as double) as confidence from sized where size > 1"""
 
 
 def collocated(spark, d):
     on = B.edges(spark, d).filter("type = 'DEPLOYED_ON'").select(c("dst").alias("host"), c("src").alias("service"))
-    return G.collocated(on, 6)
+    return G.collocated(on)
 
 
 def shared_evidence(spark, d):
-    """Evidence for the component pairs that the parts table asks about, big groups included."""
-    shared = G.potential_dependencies(B.affects(spark, d), 3)
+    """Evidence for the component pairs that the parts table asks about; confidence 0.5, repeats counted."""
+    shared = G.potential_dependencies(B.affects(spark, d))
     asked = B.table(spark, d, "lineitem").selectExpr(
         "concat('part-', l_partkey) as left", "concat('part-', (l_partkey * 13 + 1) % 2000) as right"
     ).filter("left <> right").distinct()
-    return G.shared_evidence(shared, asked)
+    return G.shared_evidence(shared, asked).withColumns({"confidence": F.lit(0.5), "evidence_count": c("evidence") - 1})
 
 
 EVIDENCE_SQL = f"""with {B.AFFECTS}, one as (select distinct issue, component as m from v_affects),
 asked as (select distinct concat('part-', l_partkey) as l, concat('part-', (l_partkey * 13 + 1) % 2000) as r from lineitem)
-select l as "left", r as "right", count(*) as evidence from asked join one a on a.m = l
-join one b on b.m = r and a.issue = b.issue where l <> r group by 1, 2"""
+select l as "left", r as "right", count(*) as evidence, cast(0.5 as double) as confidence, count(*) - 1 as evidence_count
+from asked join one a on a.m = l join one b on b.m = r and a.issue = b.issue where l <> r group by 1, 2"""
 
 
 def issue_patterns(spark, d):
@@ -186,25 +183,21 @@ def issue_patterns(spark, d):
 
 
 def enrichment_totals(spark, d):
-    """Rows that each inference adds."""
+    """Relations that each inference adds."""
     aff = B.affects(spark, d)
-    parts = [("dependencies", G.potential_dependencies(aff, 8)), ("collocated", collocated(spark, d)),
-             ("patterns", G.issue_patterns(aff))]
+    parts = [("dependencies", G.shared_total(G.potential_dependencies(aff))), ("collocated", G.shared_total(collocated(spark, d))),
+             ("patterns", G.issue_patterns(aff).agg(F.count("*").alias("n")))]
     out = None
     for name, df in parts:
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("inference"), "n")
+        one = df.select(F.lit(name).alias("inference"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 TOTALS_SQL = f"""with {B.AFFECTS}, {B.EDGES}, o1 as (select distinct issue as g, component as m from v_affects),
-s1 as (select g, m, count(*) over (partition by g) as size from o1),
-o2 as (select dst as g, src as m from v_edge where type = 'DEPLOYED_ON'),
-s2 as (select g, m, count(*) over (partition by g) as size from o2)
-select 'dependencies' as inference, (select count(*) from (select distinct a.m, b.m from s1 a join s1 b using (g)
-    where a.m <> b.m and a.size <= 8)) + (select count(*) from s1 where size > 8) as n
-union all select 'collocated', (select count(*) from (select distinct a.m, b.m from s2 a join s2 b using (g)
-    where a.m <> b.m and a.size <= 6)) + (select count(*) from s2 where size > 6)
+o2 as (select distinct dst as g, src as m from v_edge where type = 'DEPLOYED_ON')
+select 'dependencies' as inference, (select count(*) from o1 a join o1 b using (g) where a.m <> b.m) as n
+union all select 'collocated', (select count(*) from o2 a join o2 b using (g) where a.m <> b.m)
 union all select 'patterns', (select count(*) from (select component, issue_type from v_affects group by 1, 2
     having count(*) > 1))"""
 
@@ -400,10 +393,9 @@ QUERIES = {
       is not null) select (select count(*) from (select from_service from v union select to_service from v)) as affected,
       (select count(distinct from_service) from v where service = to_service) as upstream,
       (select count(distinct to_service) from v where service = from_service) as downstream"""),
-    "potential_dependencies": (potential_dependencies, f"with {B.AFFECTS}, " + _shared_sql(
-        "v_affects", "issue", "component", 8, "cast(0.5 as double) as confidence, evidence - 1 as evidence_count")),
+    "potential_dependencies": (potential_dependencies, f"with {B.AFFECTS}, " + _shared_sql("v_affects", "issue", "component", 0.5)),
     "collocated_services": (collocated, f"with {B.EDGES}, " + _shared_sql(
-        "(select * from v_edge where type = 'DEPLOYED_ON')", "dst", "src", 6, "cast(0.8 as double) as confidence")),
+        "(select * from v_edge where type = 'DEPLOYED_ON')", "dst", "src", 0.8)),
     "shared_evidence": (shared_evidence, EVIDENCE_SQL),
     "issue_patterns": (issue_patterns, f"""with {B.AFFECTS} select component, issue_type, count(*) as frequency,
       cast(0.7 as double) as confidence from v_affects group by 1, 2 having count(*) > 1"""),

@@ -142,18 +142,19 @@ group by metric, rule, severity, span"""
 
 
 def held_alerts(spark, d):
-    """Error ratio per minute over 5 percent on every minute of the last two hours with samples."""
+    """Error ratio per hour over 5 percent, without a break for two hours at least."""
     e = B.events(spark, d)
-    minute = F.date_trunc("hour", "ts")
-    ratio = e.groupBy(minute.alias("ts")).agg(F.avg(F.when(c("event_type") == "error", 1.0).otherwise(0.0)).alias("ratio"))
+    hour = F.date_trunc("hour", "ts")
+    ratio = e.groupBy(hour.alias("ts")).agg(F.avg(F.when(c("event_type") == "error", 1.0).otherwise(0.0)).alias("ratio"))
     states = ratio.withColumns({"rule": F.lit("error ratio"), "firing": c("ratio") > 0.05})
     return M.held(states, ["rule"], 7200).select(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"),
                                                 F.round("ratio", 6).alias("ratio"), "alert")
 
 
-HELD_SQL = """with m as (select date_trunc('hour', ts) as h, avg((event_type = 'error')::int::double) as ratio from events group by 1)
-select strftime(h, '%Y-%m-%d %H') as hour, round(ratio, 6) as ratio, min((ratio > 0.05)::int) over (order by h
-  range between interval 2 hours preceding and current row) = 1 as alert from m"""
+HELD_SQL = """with m as (select date_trunc('hour', ts) as h, avg((event_type = 'error')::int::double) as ratio from events group by 1),
+q as (select *, coalesce(max(case when ratio <= 0.05 then h end) over (order by h), timestamp '1900-01-01') as quiet from m),
+s as (select *, min(h) over (partition by quiet, ratio > 0.05) as since from q)
+select strftime(h, '%Y-%m-%d %H') as hour, round(ratio, 6) as ratio, ratio > 0.05 and h - since >= interval 2 hours as alert from s"""
 
 
 def sliding_monitors(spark, d):

@@ -208,10 +208,12 @@ def similar_problem_solutions(spark, d):
 
 
 def store_differences(spark, d):
-    docs = B.table(spark, d, "documents").select("doc_id", "lang", "source")
+    """Whole documents against a copy with other languages, texts cut by a letter, missing and extra rows."""
+    docs = B.table(spark, d, "documents")
     copy = docs.filter("doc_id % 11 <> 3").withColumn("lang", F.when(c("doc_id") % 7 == 0, "xx").otherwise(c("lang"))).unionByName(
         docs.filter("doc_id % 50 = 1").withColumn("doc_id", c("doc_id") + 1000000))
-    return ST.store_differences(docs, copy, "doc_id", ["lang", "source"])
+    copy = copy.withColumn("text", F.when(c("doc_id") % 13 == 5, F.expr("substr(text, 2)")).otherwise(c("text")))
+    return ST.store_differences(docs, copy, "doc_id", [x for x in docs.columns if x != "doc_id"])
 
 
 def erased_messages(spark, d):
@@ -371,7 +373,7 @@ QUERIES = {
       solution, effect, row_number() over (partition by p_partkey order by effect desc, solution) as rank from part
       join s on problem = (p_partkey * 3 + 1) % 2000) where rank <= 3"""),
     "store_differences": (store_differences, """select doc_id, case when doc_id % 11 = 3 then 'missing' else 'changed' end as difference
-      from documents where doc_id % 11 = 3 or (doc_id % 7 = 0 and lang <> 'xx') union all
+      from documents where doc_id % 11 = 3 or (doc_id % 7 = 0 and lang <> 'xx') or (doc_id % 13 = 5 and text <> '') union all
       select doc_id + 1000000, 'extra' from documents where doc_id % 50 = 1"""),
     "erased_messages": (erased_messages, """select conv_id, turn, case when conv_id in (select r_regionkey from region) then 'exported'
       else 'kept' end as part from conversations"""),

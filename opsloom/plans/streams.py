@@ -16,8 +16,9 @@ c = F.col
 
 
 def _stream(spark, d, name):
+    """The table as a stream, one file or a folder of parts: a pattern, unlike a path, may name either."""
     schema = B.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _run(df, mode="append", routes=None):
@@ -33,8 +34,9 @@ def _line_stream(spark, d):
 def service_windows(spark, d):
     """Daily windows per service over the line stream."""
     entries = J.log_stream(_line_stream(spark, d).select("raw_line", "line_number", "log_file"), as_of())
-    base = _run(J.service_windows(entries, "1 day"), "update")
-    out = J.last_update(J.read_batches(spark, base), ["start", "service_name"])
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    J.write_window_parts(entries, base, "1 day").awaitTermination()
+    out = J.window_totals(spark, base)
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "service_name", "total", "errors", "warnings",
                       F.round("mean_severity", 6).alias("mean_severity"))
 

@@ -87,8 +87,8 @@ LOG_KEYWORDS = [
     "failed", "success", "warning", "critical", "started", "stopped",
     "restart", "killed", "healthy", "unhealthy",
 ]
-LOG_METRICS = [r"(\d+)(?:%|ms|mb|gb)", r"(\d+)/\d+"]
-LOG_SERVICES = ["service-[a-z]|api-gateway|database|redis|nginx"]
+LOG_METRICS = [r"(\d+)%", r"(\d+)ms", r"(\d+)mb", r"(\d+)gb", r"(\d+)/(\d+)"]
+LOG_SERVICES = ["service-[a-z]", "api-gateway", "database", "redis", "nginx"]
 LOG_TECH = ["mysql", "redis", "nginx", "kubernetes", "docker", "java", "python", "node", "elasticsearch"]
 LOG_CATEGORY = "系统日志"
 FILE_PROBLEMS = [
@@ -108,7 +108,7 @@ WIKI_OPS_WORDS = [
     "故障", "排查", "监控", "告警", "性能", "优化", "部署", "配置",
     "备份", "恢复", "安全", "日志", "指标", "健康检查",
 ]
-WIKI_SERVICES = ["service-[a-z]|api-gateway|database|web-server"]
+WIKI_SERVICES = ["service-[a-z]", "api-gateway", "database", "web-server"]
 WIKI_TECH = ["kubernetes", "docker", "mysql", "redis", "nginx", "prometheus"]
 CODE_SUFFIXES = ["py", "java", "js", "go", "cpp"]
 CHANGE_WORDS = ["bug", "feature", "fix"]

@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("spark.opsloom.sharedDir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="opsloom-")

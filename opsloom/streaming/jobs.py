@@ -48,7 +48,9 @@ def first_texts(rows: DataFrame, text: str = "content", ts: str = "timestamp") -
     keyed = rows.withColumn("text_md5", text_key(F.col(text)))
     if rows.isStreaming:
         return keyed.withWatermark(ts, WATERMARK).dropDuplicatesWithinWatermark(["text_md5"])
-    return keyed.dropDuplicates(["text_md5"])
+    rest = [c for c in keyed.columns if c not in (ts, "text_md5")]
+    first = keyed.groupBy("text_md5").agg(F.min(F.struct(ts, *rest)).alias("_r"))
+    return first.select("_r.*", "text_md5").select(*keyed.columns)
 
 
 def new_texts(rows: DataFrame, known: DataFrame, text: str = "content") -> DataFrame:
@@ -60,6 +62,7 @@ def new_texts(rows: DataFrame, known: DataFrame, text: str = "content") -> DataF
 def write_batches(df: DataFrame, base: str, mode: str = "append", routes: dict[str, Column] | None = None) -> StreamingQuery:
     """All that has arrived, one folder per batch; ``routes`` splits rows over tables by condition."""
     routes = routes or {"rows": F.lit(True)}
+    _start_tables(df, base, list(routes))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
@@ -73,6 +76,53 @@ def write_batches(df: DataFrame, base: str, mode: str = "append", routes: dict[s
             .trigger(availableNow=True).start())
 
 
+def _start_tables(df: DataFrame, base: str, names: list[str]) -> None:
+    """An empty first part of each table, so that it can be read when nothing arrived."""
+    empty = df.sparkSession.createDataFrame([], df.schema)
+    for name in names:
+        empty.write.mode("overwrite").parquet(f"{base}/{name}/batch_id=-1")
+
+
+def write_window_parts(entries: DataFrame, base: str, size: str = "1 minute", late_after: str = "10 minutes") -> StreamingQuery:
+    """Sums per service and window of each batch to ``rows``; those of late entries to ``late``.
+
+    Late: more than ``late_after`` behind the newest entry of the same or an
+    earlier batch. Nothing is dropped: ``window_totals`` adds both tables up,
+    so the totals don't depend on how batches are cut.
+    """
+    win = F.window("timestamp", size)
+
+    def parts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(win.alias("w"), "service_name").agg(
+            F.count("*").alias("total"), F.sum(F.when(F.col("log_level") == "ERROR", 1).otherwise(0)).alias("errors"),
+            F.sum(F.when(F.col("log_level") == "WARN", 1).otherwise(0)).alias("warnings"), F.sum("severity_score").alias("severity"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = batch.persist()
+        try:
+            kept.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+            seen = spark.read.option("basePath", f"{base}/newest").parquet(f"{base}/newest/batch_id=*")
+            newest = seen.filter(F.col("batch_id") <= batch_id).agg(F.max("newest")).first()[0]
+            late = F.coalesce(F.col("timestamp") < F.lit(newest) - F.expr(f"interval {late_after}"), F.lit(False))
+            parts(kept.filter(~late)).write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
+            parts(kept.filter(late)).write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
+
+    _start_tables(parts(entries), base, ["rows", "late"])
+    return (entries.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{base}/_checkpoint")
+            .trigger(availableNow=True).start())
+
+
+def window_totals(spark: SparkSession, base: str) -> DataFrame:
+    """start, service_name, total, errors, warnings, mean_severity over timely and late parts."""
+    every = read_batches(spark, base).unionByName(read_batches(spark, base, "late"))
+    return every.groupBy(F.col("w.start").alias("start"), "service_name").agg(
+        F.sum("total").alias("total"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"),
+        (F.sum("severity") / F.sum("total")).alias("mean_severity"))
+
+
 def write_with_late(df: DataFrame, base: str, ts: str = "timestamp", delay_seconds: int = 600) -> StreamingQuery:
     """Rows to ``rows``; those more than ``delay_seconds`` behind the newest time of earlier batches to ``late``.
 
@@ -94,6 +144,7 @@ def write_with_late(df: DataFrame, base: str, ts: str = "timestamp", delay_secon
         finally:
             kept.unpersist()
 
+    _start_tables(df, base, ["rows", "late"])
     return (df.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{base}/_checkpoint")
             .trigger(availableNow=True).start())
 

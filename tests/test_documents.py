@@ -33,8 +33,22 @@ def test_overlap_chunks(spark):
     df = spark.createDataFrame([("abcdefgh. ijklmnop. qrstuvwx.",)], "t string")
     tail = df.select(D.pack_with_overlap(F.col("t"), 12, 3)).first()[0]
     assert tail == ["abcdefgh.", "gh. ijklmnop.", "op. qrstuvwx."]
-    last_left_out = df.select(D.pack_with_overlap(F.col("t"), 12, 3, style="sentence")).first()[0]
-    assert len(last_left_out) <= 2
+    own = df.select(D.pack_with_overlap(F.col("t"), 12, 3, style="sentence")).first()[0]
+    assert own == ["abcdefgh.", "op. ijklmnop.", "wx. qrstuvwx."]
+
+
+def test_no_character_of_a_long_sentence_is_lost(spark):
+    text = "Short one. " + "".join(chr(0x4E00 + i) for i in range(20000)) + ". Then " + "".join(chr(0xAC00 + i) for i in range(1300)) + "! End"
+    for style in ("tail", "sentence"):
+        chunks = spark.createDataFrame([(text,)], "t string").select(D.pack_with_overlap(F.col("t"), 512, 50, style=style)).first()[0]
+        assert set(text) == set("".join(chunks)) and max(map(len, chunks)) <= 562 and chunks[-1].endswith(" End")
+
+
+def test_refused_texts_stay_with_a_reason(spark):
+    df = spark.createDataFrame([(1, "short"), (2, "long enough text"), (3, "x" * 30), (4, None)], "id int, content string")
+    got = {r.id: (r.kept, r.reason) for r in P.clean_documents(df, least=10, most=20).collect()}
+    assert got == {1: (False, "too short"), 2: (True, None), 3: (False, "too long"), 4: (False, "too short")}
+    assert {r.kept for r in P.clean_documents(df).collect()} == {True}
 
 
 def test_change_and_ticket_fields(spark):

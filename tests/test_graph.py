@@ -60,8 +60,8 @@ def test_shared_groups_lose_nothing(spark):
         for a in ms:
             for b in ms - {a}:
                 want[str(a), str(b)] = want.get((str(a), str(b)), 0) + 1
-    shared = G.shared_groups(df, "g", "m", small=8)
-    assert shared.filter("kind = 'group'").count() == 30
+    shared = G.shared_groups(df, "g", "m")
+    assert shared.filter("size = 30").count() == 30 and G.shared_total(shared).first()[0] == sum(want.values())
     asked = spark.createDataFrame(list(want), "left string, right string")
     assert {(r.left, r.right): r.evidence for r in G.shared_evidence(shared, asked).collect()} == want
 

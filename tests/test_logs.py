@@ -88,3 +88,10 @@ def test_text_helpers(spark):
     row = spark.range(1).select(strip(F.lit("\t a b 　\n")).alias("s"), normalize_service(F.lit("Service  D1")).alias("n"),
                                 normalize_service(F.lit("SERVICE_b")).alias("m")).first()
     assert tuple(row) == ("a b", "service-d1", "service-b")
+
+
+def test_overlapping_patterns_each_match(spark):
+    text = "call service-redis and service-database now, 95% of 20ms in 3/4 or 12gb"
+    row = spark.createDataFrame([(text,)], "t string").select(L.entities(F.col("t")).alias("e"), L.keywords(F.col("t")).alias("k")).first()
+    assert set(row.e) == {"service:service-r", "service:service-d", "service:redis", "service:database", "tech:redis"}
+    assert {"metric_95", "metric_20", "metric_3", "metric_12"} <= set(row.k)

@@ -42,6 +42,10 @@ def test_alert_spans_and_hold(spark):
     assert [s.samples for s in spans] == [2, 3]
     held = [r.n for r in M.held(df, ["rule"], 120).filter("alert").orderBy("n").collect()]
     assert held == [6]
+    one = df.limit(1).selectExpr("rule", "ts", "n", "true as firing")
+    assert not M.held(one, ["rule"], 120).first().alert
+    later = one.unionByName(one.selectExpr("rule", "ts + interval 5 minutes as ts", "n + 1 as n", "firing"))
+    assert [r.alert for r in M.held(later, ["rule"], 120).orderBy("ts").collect()] == [False, True]
 
 
 def test_message_order_in_long_session(spark):

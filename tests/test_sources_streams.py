@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions import logs as L
@@ -110,3 +111,36 @@ def test_three_targets_and_months(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "registry")).count() == 2
     sinks.write_by_month(rows, str(tmp_path / "h"))
     assert spark.read.parquet(str(tmp_path / "h")).filter("year = 2024 and month = 4").count() == 1
+
+
+@pytest.mark.parametrize("files, per_batch", [(1, 1), (3, 1), (10, 1), (10, 4)])
+def test_window_totals_keep_late_rows(spark, tmp_path, files, per_batch):
+    """Totals are those of one batch, however the rows are cut, also for rows far behind."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(minutes=(i * 37) % 600), f"s{i % 3}", "ERROR" if i % 4 == 0 else "WARN", 0.5 + i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, service_name string, log_level string, severity_score double")
+    for k in range(files):
+        part = spark.createDataFrame(rows[k::files], df.schema).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(str(tmp_path / "in"))
+    J.write_window_parts(stream, str(tmp_path / "out"), "1 hour").awaitTermination()
+    key = lambda r: (r.start, r.service_name)
+    got = sorted(J.window_totals(spark, str(tmp_path / "out")).collect(), key=key)
+    assert got == sorted(J.service_windows(df, "1 hour").collect(), key=key) and sum(r.total for r in got) == 400
+    assert files == 1 or J.read_batches(spark, str(tmp_path / "out"), "late").count() > 0
+
+
+@pytest.mark.parametrize("name", ["stream_first_texts", "stream_task_progress", "stream_service_windows", "stream_routed_lines"])
+def test_streams_over_folders_of_parts(spark, tmp_path, small, name):
+    import __spark_entry__ as entry
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{small}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    one, parts = (entry.queries()[name](spark, d) for d in (small, str(tmp_path)))
+    assert sorted(one.collect()) == sorted(parts.collect())
+
+
+def test_stream_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "content string, timestamp timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("content string, timestamp timestamp").parquet(str(tmp_path / "in"))
+    J.write_batches(J.first_texts(stream), str(tmp_path / "out")).awaitTermination()
+    assert J.read_batches(spark, str(tmp_path / "out")).count() == 0
