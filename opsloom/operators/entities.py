@@ -1,15 +1,13 @@
 """Entities and relations of texts: one job from documents to an entity and a relation table.
 
-Only finding the spans needs Python (built-in functions give matches without
-offsets); it runs as an Arrow function over whole texts. Overlaps, relations
-and counts are column and join work.
+All of it is column and join work. Built-in functions give matches without
+offsets; the stretches between the matches give the places.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +27,29 @@ def _needed_word(pattern: str, flags: int) -> str:
     return max(re.findall(r"[a-z]{3,}", re.sub(r"\\.|\[[^\]]*\][?*+]?|[a-z]\?", " ", pattern)), key=len, default="")
 
 
-def _span_function(rules, lower_after: int | None = None):
-    """Arrow function text -> spans of all rules in rule order; rules from ``lower_after`` on see lowered text."""
-    @F.pandas_udf(f"array<{SPAN}>")
-    def spans(texts: pd.Series) -> pd.Series:
-        compiled = [(label, conf, re.compile(p, flags), _needed_word(p, flags)) for label, conf, p, flags in rules]
+def _spans(text: Column, rules, lower_after: int | None = None) -> Column:
+    """Spans of all rules in rule order; rules from ``lower_after`` on see lowered text."""
+    none = F.array().cast(f"array<{SPAN}>")
+    folded = F.lower(F.upper(text))
 
-        def of(text):
-            if text is None:
-                return []
-            low = text if lower_after is None else text.lower()
-            folded = text.casefold()
-            return [{"text": m.group(), "label": label, "start": m.start(), "end": m.end(), "confidence": conf}
-                    for i, (label, conf, rx, word) in enumerate(compiled) if word in folded
-                    for m in rx.finditer(low if lower_after is not None and i >= lower_after else text)]
+    def of(i: int, label: str, confidence: float, pattern: str, flags: int) -> Column:
+        src = F.lower(text) if lower_after is not None and i >= lower_after else text
+        rx = F.lit(("(?iU)" if flags & re.I else "(?U)") + pattern)
+        parts = F.arrays_zip(F.split(src, rx, -1).alias("gap"), F.regexp_extract_all(src, rx, F.lit(0)).alias("hit"))
 
-        return texts.map(of)
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            span = F.struct(x["hit"].alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
+                            F.lit(confidence).cast("double").alias("confidence"))
+            return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")))
 
-    return spans
+        found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+        word = _needed_word(pattern, flags)
+        seen = text.isNotNull() & (folded.contains(word) if word else F.lit(True))
+        return F.when(seen, found).otherwise(none)
+
+    return F.concat(*[of(i, *rule) for i, rule in enumerate(rules)])
 
 
 def _span_order(by_end: bool):
@@ -88,7 +91,7 @@ def _span_rows(merged: DataFrame, key: str) -> DataFrame:
 
 def extract_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ord, text, label, start, end, confidence), one row per entity of each text."""
-    spans = _span_function(_TEXT_RULES)(F.col(text))
+    spans = _spans(F.col(text), _TEXT_RULES)
     merged = docs.select(F.col(doc_id).alias("doc_id"), spans.alias("_s")).select(
         "doc_id", merge_overlaps(F.col("_s")).alias("_s"))
     return _span_rows(merged, "doc_id")
@@ -98,7 +101,7 @@ def question_entities(questions: DataFrame, query_id: str = "query_id", query: s
     """Services, components, incidents and operations that questions name; service names normalized."""
     from opsloom.functions.text import normalize_service
 
-    spans = _span_function(_QUESTION_RULES, lower_after=3)(F.col(query))
+    spans = _spans(F.col(query), _QUESTION_RULES, lower_after=3)
     normal = F.transform("_s", lambda s: F.when(
         s["label"] == "SERVICE", s.withField("text", normalize_service(F.trim(s["text"])))).otherwise(s))
     out = questions.select(F.col(query_id).alias("query_id"), spans.alias("_s")).select("query_id", normal.alias("_s"))
