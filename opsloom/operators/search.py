@@ -18,7 +18,9 @@ from opsloom import rules as R
 from opsloom.functions.vectors import certainty
 from opsloom.session import cut_lineage
 
+#: Questions that are sent to all tasks at most, and of one block beyond that; documents of one block.
 QUERIES_PER_PASS = 1024
+DOCUMENTS_PER_BLOCK = 8192
 BROADCAST_ROWS = 200_000
 _DIGITS = 9
 
@@ -77,60 +79,68 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, **names) -> DataFra
 
 
 # ------------------------------------------------------------------ vectors
-def _query_slices(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Question vectors in slices of bounded size; one slice is what a task holds in memory."""
-    n = queries.count()
-    slices = max(1, math.ceil(n / QUERIES_PER_PASS))
-    for i in range(slices):
-        part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        rows = part.select("query_id", "vector").toPandas()
-        if len(rows):
-            yield rows["query_id"].to_numpy(), np.stack(rows["vector"].map(np.asarray)).astype("float64")
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _near(doc: np.ndarray, vectors: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int | None, least: float | None,
+          distance: bool, not_self: bool) -> pd.DataFrame:
+    """Scores of one block of documents with some questions: those over the bound, the k best of each and their ties."""
+    parts = []
+    for a in range(0, len(ids), 256):
+        own = asked[a:a + 256]
+        if distance:
+            # distances row by row: exact also for near-equal vectors
+            s = np.stack([np.linalg.norm(own - row, axis=1) for row in vectors], axis=1)
+        else:
+            s = _unit(own) @ _unit(vectors).T
+        s = np.round(s, _DIGITS)
+        keep = np.ones_like(s, dtype=bool) if least is None else (s <= least if distance else s >= least)
+        if not_self:
+            keep &= ids[a:a + 256, None] != doc[None, :]
+        if k is not None and s.shape[1] > k:
+            # rows beyond the k-th best of this block cannot be among the best k; ties stay
+            worth = np.where(keep, -s if distance else s, -np.inf)
+            keep &= worth >= np.partition(worth, -k, axis=1)[:, [-k]]
+        qi, di = np.nonzero(keep)
+        parts.append(pd.DataFrame({"query_id": ids[a:a + 256][qi], "doc_id": doc[di], "score": s[qi, di]}))
+    found = pd.concat(parts)
+    if k is None:
+        return found
+    return (found.sort_values(["query_id", "score", "doc_id"], ascending=[True, distance, True]).groupby("query_id", sort=False).head(k))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.map(np.asarray)).astype("float64")
+
+
 def similar_rows(docs: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None,
                  metric: str = "cosine", not_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score): exact similarity of every document with every question.
 
-    ``docs`` has doc_id and vector, ``queries`` query_id and vector. The
-    documents are never shuffled: each task multiplies its Arrow batches with a
-    slice of question vectors and emits its own best ``k`` per question, or
-    every row at or over ``least``. Questions beyond one slice take more passes.
+    ``docs`` has doc_id and vector, ``queries`` query_id and vector. Up to
+    QUERIES_PER_PASS questions go to all tasks and the documents stay where
+    they are. More questions meet the documents in blocks of both, on the
+    executors; a block gives its best ``k`` per question, or every row at or
+    over ``least``.
     """
     distance = metric == "euclidean"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for ids, matrix in _query_slices(queries):
-        unit = matrix if distance else _unit(matrix)
-
-        def run(batches, ids=ids, unit=unit):
+    schema = f"query_id {q_type}, doc_id {id_type}, score double"
+    few = queries.select("query_id", "vector").limit(QUERIES_PER_PASS + 1).toPandas()
+    if few.empty:
+        return docs.sparkSession.createDataFrame([], schema)
+    if len(few) <= QUERIES_PER_PASS:
+        ids, asked = few["query_id"].to_numpy(), _matrix(few["vector"])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             for batch in batches:
                 if batch.empty:
                     continue
-                doc = batch["doc_id"].to_numpy()
-                m = np.stack(batch["vector"].map(np.asarray)).astype("float64")
-                if distance:
-                    # distances row by row: exact also for near-equal vectors
-                    s = np.stack([np.linalg.norm(unit - row, axis=1) for row in m], axis=1)
-                else:
-                    s = unit @ _unit(m).T
-                s = np.round(s, _DIGITS)
-                keep = np.ones_like(s, dtype=bool) if least is None else (s <= least if distance else s >= least)
-                if not_self:
-                    keep &= ids[:, None] != doc[None, :]
-                if k is not None and s.shape[1] > k:
-                    # rows beyond the k-th best of this batch cannot be among the best k; ties stay
-                    worth = np.where(keep, -s if distance else s, -np.inf)
-                    keep &= worth >= np.partition(worth, -k, axis=1)[:, [-k]]
-                qi, di = np.nonzero(keep)
-                found = pd.DataFrame({"query_id": ids[qi], "doc_id": doc[di], "score": s[qi, di]})
+                found = _near(batch["doc_id"].to_numpy(), _matrix(batch["vector"]), ids, asked, k, least, distance, not_self)
                 if k is None:
                     yield found
                     continue
@@ -140,10 +150,23 @@ def similar_rows(docs: DataFrame, queries: DataFrame, k: int | None = None, leas
             if best is not None:
                 yield best
 
-        part = docs.select("doc_id", "vector").mapInPandas(run, f"query_id {q_type}, doc_id {id_type}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"query_id {q_type}, doc_id {id_type}, score double")
+        out = docs.select("doc_id", "vector").mapInPandas(run, schema)
+    else:
+        d_blocks = max(1, math.ceil(docs.count() / DOCUMENTS_PER_BLOCK))
+        q_blocks = math.ceil(queries.count() / QUERIES_PER_PASS)
+
+        def every(n: int) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+        left = docs.select("doc_id", "vector", F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).alias("_d"), every(q_blocks).alias("_q"))
+        right = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("_q"), every(d_blocks).alias("_d"))
+
+        def meet(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if l.empty or r.empty:
+                return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+            return _near(l["doc_id"].to_numpy(), _matrix(l["vector"]), r["query_id"].to_numpy(), _matrix(r["vector"]), k, least, distance, not_self)
+
+        out = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInPandas(meet, schema)
     if k is None:
         return out
     order = F.asc("score") if distance else F.desc("score")

@@ -94,3 +94,19 @@ def test_similarity_columns(spark):
     row = spark.range(1).select(V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("z"),
                                 V.euclidean(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))).alias("e")).first()
     assert (row.z, row.e) == (0.0, 5.0)
+
+
+def test_blocks_of_questions_give_the_same_hits(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    x[100:200] = x[7]  # ties
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>")
+    q = d.withColumnRenamed("doc_id", "query_id")
+    for args in ({"k": 4}, {"k": 3, "metric": "euclidean"}, {"least": 0.95}, {"k": 3, "not_self": True}):
+        want = sorted(S.similar_rows(d, q, **args).collect())
+        with monkeypatch.context() as m:
+            m.setattr(S, "QUERIES_PER_PASS", 40)
+            m.setattr(S, "DOCUMENTS_PER_BLOCK", 70)
+            assert sorted(S.similar_rows(d, q, **args).collect()) == want
+    assert S.similar_rows(d, q.filter("false"), 3).count() == 0
