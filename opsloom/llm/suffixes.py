@@ -23,7 +23,7 @@ FOLDED, HASHED = 24 << 20, 2 << 20
 #: Bytes of one suffix array, and pieces that one key may bring to it.
 ARRAY, CROWD = 1 << 20, 4096
 #: Documents with removals whose ids are sent to all executors, at most; beyond it both sides are shuffled.
-BROADCAST = 1_000_000
+BROADCAST = 200_000
 
 
 # ------------------------------------------------------------------ suffix arrays
@@ -240,6 +240,22 @@ def _rows(kind, key, body, doc, tag, at, n, text=None) -> pa.RecordBatch:
                             "tag": np.asarray(tag).astype(np.int32), "at": at, "n": n, "text": text if text is not None else pa.nulls(rows, pa.binary())})
 
 
+def _cut_rows(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """CUT rows of the stretches, those that touch joined, dealt out by document."""
+    order = np.lexsort([at, tag, doc])
+    doc, tag, at = doc[order], tag[order], at[order]
+    other = np.ones(len(order), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    far = np.cumsum(other) << 40  # documents one behind the other on one line
+    end = np.maximum.accumulate(at + n[order] + far)
+    first = np.ones(len(order), bool)
+    first[1:] = other[1:] | (at[1:] + far[1:] > end[:-1])
+    head = np.flatnonzero(first)
+    last = np.append(head[1:], len(order)) - 1
+    key = doc[head].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _rows(CUT, key.view(np.int64), 0 * head, doc[head], tag[head], at[head], end[last] - far[last] - at[head])
+
+
 def _later(key: np.ndarray, body: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of one (key, body): the earliest ones; and those after it."""
     order = np.lexsort([at, tag, doc, body, key])
@@ -298,7 +314,7 @@ def _folded(docs: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     key, body, doc, tag, at, n, number = map(np.concatenate, zip(*parts))
     head, late = _later(key, body, doc, tag, at)
     if len(late):
-        yield _rows(CUT, body[late], 0 * late, doc[late], tag[late], at[late], n[late] + LENGTH - 1)
+        yield _cut_rows(doc[late], tag[late], at[late], n[late] + LENGTH - 1)
     same = np.zeros(len(head), bool)
     same[1:] = key[head][1:] == key[head][:-1]
     same[:-1] |= same[1:]
@@ -367,7 +383,7 @@ def cuts(docs: DataFrame) -> DataFrame:
         head, late = _later(key[own], body[own], doc[own], tag[own], at[own])
         head, late = own[head], own[late]
         if len(late):
-            yield _rows(CUT, body[late], 0 * late, doc[late], tag[late], at[late], n[late] + LENGTH - 1)
+            yield _cut_rows(doc[late], tag[late], at[late], n[late] + LENGTH - 1)
         same = np.zeros(len(head), bool)
         same[1:] = key[head][1:] == key[head][:-1]
         same[:-1] |= same[1:]

@@ -20,7 +20,7 @@ from opsloom.llm.common import batch_of, sliced
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Ids kept per worker; a worker starts anew beyond it.
-CACHED = 600_000
+CACHED = 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _EDGE = r"\n -&(-@\[-`{-~"
 #: A word that every pre-tokenizer of this kind cuts out whole: letters up to a plain ASCII sign, with the blank before
