@@ -282,6 +282,14 @@ def text_vectors(spark, d):
                                        F.round(V.norm(c("vector")), 4).alias("length"))
 
 
+LEADER_SQL = """with recursive it as (select row_number() over (order by vec_id) as k, vec_id, embedding::double[] as v from embeddings),
+r as (select cast(0 as bigint) as k, cast(null as bigint) as item_id, cast(null as bigint) as leader_id, cast([] as struct(id bigint, v double[])[]) as ls
+  union all select k, vec_id, coalesce(f, vec_id), case when f is null then list_append(ls, {'id': vec_id, 'v': v}) else ls end from (
+    select it.k, vec_id, it.v as v, ls, (list_filter(ls, lambda z: round(list_cosine_similarity(z.v, it.v), 9) > 0.3))[1].id as f
+    from r join it on it.k = r.k + 1))
+select item_id, leader_id from r where item_id is not null"""
+
+
 QUERIES = {
     "bm25_top": (bm25_top, f"{BASE}, {_top_sql('t', 'bm')} select query_id, doc_id, round(score, 6) as score, rank from t"),
     "bm25_titled": (bm25_titled, f"""with {B.DOCUMENTS}, {B.ASKS}, docs as (select doc_id,
@@ -342,7 +350,7 @@ QUERIES = {
       from v_kb where service_name in ('service-a', 'service-b') and log_level in ('ERROR', 'WARN')
       order by line_number desc, doc_id limit 100"""),
     "filtered_hybrid": (filtered_hybrid, FILTERED_HYBRID_SQL),
-    "leader_clusters": (leader_clusters, None),
+    "leader_clusters": (leader_clusters, LEADER_SQL),
     "text_clusters": (text_clusters, None),
     "text_vectors": (text_vectors, None),
 }
