@@ -123,19 +123,29 @@ def fresh_tasks(spark, d):
     return ST.fresh_tasks(_tasks(spark, d).filter(c("created_at") <= at), at, 24 * 30).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def quality_report(spark, d):
+def _labelled(spark, d):
     rows = B.documents(spark, d).join(B.table(spark, d, "labels"), "doc_id", "left")
-    return ST.quality_report(rows, ["title", "quality", "toxic"], "doc_id")["counts"]
+    return rows, [x for x in rows.columns if x != "doc_id"]
+
+
+_FIELDS = [x for x in B._DOC if x != "doc_id"] + ["quality", "toxic"]
+_NULLS = "(" + " + ".join(f"({x} is null)::int" for x in _FIELDS) + ")"
+
+
+def quality_report(spark, d):
+    """Rules over every field of the rows."""
+    rows, fields = _labelled(spark, d)
+    return ST.quality_report(rows, fields, "doc_id")["counts"]
 
 
 def quality_first_rows(spark, d):
-    rows = B.documents(spark, d).join(B.table(spark, d, "labels"), "doc_id", "left")
-    return ST.quality_report(rows, ["title", "quality", "toxic"], "doc_id")["first"]
+    rows, fields = _labelled(spark, d)
+    return ST.quality_report(rows, fields, "doc_id")["first"]
 
 
 def null_cells(spark, d):
-    rows = B.documents(spark, d).join(B.table(spark, d, "labels"), "doc_id", "left")
-    return ST.null_cells(rows, ["title", "content", "quality", "toxic"])
+    rows, fields = _labelled(spark, d)
+    return ST.null_cells(rows, fields)
 
 
 def distinct_values(spark, d):
@@ -343,19 +353,16 @@ QUERIES = {
       order by priority desc, o_orderdate, o_orderkey limit 50"""),
     "fresh_tasks": (fresh_tasks, """select case when o_orderstatus = 'O' then 'pending' else 'done' end as status, count(*) as n
       from orders where o_orderdate <= timestamp '1998-06-02' and o_orderdate >= timestamp '1998-06-02' - interval 30 days group by 1"""),
-    "quality_report": (quality_report, f"""with {B.DOCUMENTS}, j as (select v_kb.*, quality, toxic, (title is null)::int +
-      (quality is null)::int + (toxic is null)::int as k from v_kb left join labels using (doc_id)),
+    "quality_report": (quality_report, f"""with {B.DOCUMENTS}, j as (select *, {_NULLS} as k from v_kb left join labels using (doc_id)),
       u as (select 'unknown service' as issue, k from j where service_name = 'unknown' union all select 'blank content', k from j
-      where trim(content) = '' union all select 'null cell', k from j where k > 0)
+      where trim(coalesce(content, '')) = '' union all select 'null cell', k from j where k > 0)
       select issue, count(*) as rows, cast(sum(k) as bigint) as null_cells from u group by 1"""),
     "quality_first_rows": (quality_first_rows, f"""with {B.DOCUMENTS}, u as (select 'unknown service' as issue, doc_id from v_kb
       where service_name = 'unknown' union all select 'blank content', doc_id from v_kb where trim(content) = ''
-      union all select 'null cell', v_kb.doc_id from v_kb left join labels using (doc_id) where quality is null or toxic is null)
+      union all select 'null cell', v_kb.doc_id from v_kb left join labels using (doc_id) where {_NULLS} > 0)
       select * from (select *, row_number() over (partition by issue order by doc_id) as rank from u) where rank <= 5"""),
-    "null_cells": (null_cells, f"""with {B.DOCUMENTS}, j as (select title, content, quality, toxic from v_kb left join labels
-      using (doc_id)) select 'title' as "column", count(*) - count(title) as nulls from j union all select 'content',
-      count(*) - count(content) from j union all select 'quality', count(*) - count(quality) from j union all
-      select 'toxic', count(*) - count(toxic) from j"""),
+    "null_cells": (null_cells, f"""with {B.DOCUMENTS}, j as (select * from v_kb left join labels using (doc_id)) """ + " union all ".join(
+        f"""select '{x}' as "column", count(*) - count({x}) as nulls from j""" for x in _FIELDS)),
     "distinct_values": (distinct_values, f"""with {DERIVED_SQL} select distinct 'service' as kind, service_name as value from derived
       union select 'level', log_level from derived union select 'keyword', unnest(string_split(keywords, ',')) from derived
       where keywords <> ''"""),
