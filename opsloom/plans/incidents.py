@@ -16,6 +16,7 @@ from opsloom.operators import rca as C
 from opsloom.operators import search as S
 from opsloom.operators import series as T
 from opsloom.plans import bindings as B
+from opsloom.plans.graph import WORDS_SQL, _word_asks
 from opsloom.plans.search import _bm25_sql, _HYBRID, _LISTS, _top_sql, BASE
 
 c = F.col
@@ -100,6 +101,40 @@ select query_id, doc_id, round(relevance, 6) as relevance, rank from (select *,
   order by relevance desc, doc_id) as rank from sc) where rank <= 5"""
 
 
+def graph_search(spark, d):
+    """Entities that a question names, then three documents of each."""
+    ents = G.entities_by_word(B.nodes(spark, d), _word_asks(spark, d)).select("query_id", "name", "type")
+    docs = G.documents_of_entities(ents.select("name", "type").distinct(), B.mentions(spark, d), B.documents(spark, d).select("doc_id", "title"), 3)
+    return ents.join(docs.select("name", "type", "doc_id", "title"), ["name", "type"]).select(
+        "query_id", "name", "type", "doc_id", "title", F.lit(R.GRAPH_HIT_SCORE).alias("score"))
+
+
+GRAPH_SEARCH_SQL = f"""with asked as ({WORDS_SQL}), {B.NODES}, {B.MENTIONS}, {B.DOCUMENTS},
+three as (select * from (select name, type, doc_id, title, row_number() over (partition by name, type order by doc_id) as n
+  from (select distinct name, type from asked) join v_mention using (name, type) join v_kb using (doc_id)) where n <= 3)
+select query_id, name, type, doc_id, title, cast(0.7 as double) as score from asked join three using (name, type)"""
+
+
+def search_modes(spark, d):
+    """The filtered log search in its three modes, with the rows that the filters leave."""
+    where = FL.search_filter(source_type=["wiki", "jira"], level=["ERROR", "WARN"])
+    rows, asks, vec = _rows(spark, d), B.asks(spark, d), B.ask_vectors(spark, d)
+    left = rows.filter(where).agg(F.count("*").alias("total_rows"))
+    out = None
+    for mode in ("vector", "fulltext", "hybrid"):
+        hits = S.search_rows(rows, 5, mode, where, asks, vec)
+        one = hits.select(F.lit(mode).alias("mode"), "query_id", "doc_id", F.round("final_score" if mode == "hybrid" else "score", 6).alias("score"), "rank")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("filters", F.lit("source_type, log_level")).withColumn("total_rows", left.scalar())
+
+
+MODES_SQL = f"""{BASE}, kept as (select doc_id, content from v_kb where source_type in ('wiki', 'jira') and log_level in ('ERROR', 'WARN')),
+{_half('k', 'kept')},
+u as (select 'vector' as mode, query_id, doc_id, score, rank from k_vt union all select 'fulltext', query_id, doc_id, score, rank from k_bt
+  union all select 'hybrid', query_id, doc_id, final_score, rank from k_best)
+select mode, query_id, doc_id, round(score, 6) as score, rank, 'source_type, log_level' as filters, (select count(*) from kept) as total_rows from u"""
+
+
 # ------------------------------------------------------------------ metrics at their windows
 def increase_by_labels(spark, d):
     """Errors of the hour before the newest sample, summed by endpoint and error type."""
@@ -252,6 +287,8 @@ def service_timeline(spark, d):
 QUERIES = {
     "incident_log_search": (incident_logs, INCIDENT_SQL),
     "knowledge_search": (knowledge_search, KNOWLEDGE_SQL),
+    "graph_search": (graph_search, GRAPH_SEARCH_SQL),
+    "search_modes": (search_modes, MODES_SQL),
     "increase_by_labels": (increase_by_labels, INCREASE_SQL),
     "rate_quantiles": (rate_quantiles, _rate_sql()),
     "model_monitors": (model_monitors, _monitor_sql()),
