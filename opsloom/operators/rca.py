@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom import rules as R
@@ -127,13 +127,17 @@ def symptom_causes(questions: DataFrame) -> DataFrame:
 
 
 def rank_causes(questions: DataFrame, logs: DataFrame, relations: DataFrame, k: int = 3) -> DataFrame:
-    """Primary cause (rank 1) and alternatives; symptoms only where nothing else was found."""
-    hard = logs.unionByName(relations)
-    soft = symptom_causes(questions).join(hard.select("query_id").distinct(), "query_id", "left_anti")
+    """Primary cause (rank 1) and alternatives; symptoms only where nothing else was found.
+
+    The causes found and the symptoms meet in one list, so that the search behind the former runs once.
+    """
+    every = logs.unionByName(relations).withColumn("_soft", F.lit(0)).unionByName(symptom_causes(questions).withColumn("_soft", F.lit(1)))
+    least = F.min("_soft").over(Window.partitionBy("query_id"))
+    chosen = every.withColumn("_least", least).filter("_soft = _least").drop("_soft", "_least")
     text, source = F.col("cause"), F.col("source")
     valid = ~(any_of(text, ["None", "unknown"]) | source.isNull() | source.isin("None", "unknown")
               | (F.trim(text) == ""))
-    return best_per(hard.unionByName(soft).filter(valid), ["query_id"],
+    return best_per(chosen.filter(valid), ["query_id"],
                     [F.desc("confidence"), F.asc("cause"), F.asc("evidence_type")], k)
 
 
