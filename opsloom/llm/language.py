@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 SWITCH = 10.0
 #: A language is a candidate for a script that so large a share of its words is written in.
 SHARE = 0.01
-CACHED = 400_000
+CACHED = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Blocks of Unicode by script.
@@ -185,7 +185,7 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words(model) if model else None
         for whole in batches:
-            for batch in sliced(whole, "text", 8 << 20):
+            for batch in sliced(whole, "text"):
                 rows = batch.num_rows
                 pred, share, spans = ["und"] * rows, [0.0] * rows, [[] for _ in range(rows)]
                 if known is not None:

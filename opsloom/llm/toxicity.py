@@ -20,7 +20,7 @@ TERMS = 4_000
 ODDS = 12.0
 #: Words on either side that decide whether a match is quoted.
 CONTEXT = 5
-CACHED = 400_000
+CACHED = 250_000
 _STRIP = ".,;:!?()[]{}<>«»“”„‘’\"'`…-–—*_#~|/\\%&$+="
 _QUOTES = ("\"", "“", "”", "„", "«", "»", "‘", "’", "'")
 
@@ -184,7 +184,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "text", 8 << 20):
+            for batch in sliced(whole, "text"):
                 sums = (Counter(), Counter())
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                     words = {w for t in set(text.lower().split()) if len(w := t.strip(_STRIP)) > 3}
@@ -262,7 +262,7 @@ def _scored(docs: DataFrame, matcher: Matcher) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, none = _Tokens(matcher), [0.0] * FEATURES
         for whole in batches:
-            for batch in sliced(whole, "text", 8 << 20):
+            for batch in sliced(whole, "text"):
                 if len(known) > CACHED:
                     known = _Tokens(matcher)
                 find, out = known.__getitem__, []
