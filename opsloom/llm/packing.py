@@ -134,6 +134,7 @@ def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 1, window: in
     number, totals = {s: i for i, s in enumerate(names)}, [sums[s] for s in names]
     base = per.select(F.col("part").alias("p"), F.col("source").alias("s"),
                       (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"))
+    base = stored(base, "packed-bases")  # its size is then known: where it is small, the ids need no shuffle
     placed = rows.join(base, (rows["part"] == base["p"]) & rows["source"].eqNullSafe(base["s"])).select(
         "doc_id", "source", "n", (F.col("base") + F.col("before")).alias("at"), "width", "ids",
         F.expr("shiftleft(cast(part as bigint), 40) + row").alias("row_id"))
