@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import table
+from opsloom.llm.common import stored, table
 
 # The sentences that licences ask to be put into a file, by SPDX name.
 TEMPLATES = [
@@ -58,8 +58,11 @@ def licence_blocks(files: DataFrame, body: str = "html", least: float = LEAST) -
                   .groupBy("licence", "term").agg(F.count("*").alias("t")))
     words = blocks.select("file_id", "block", F.size("terms").cast("long").alias("n"), F.explode("terms").alias("term"))
     known = vocabulary.select("term").distinct()
-    hits = words.join(F.broadcast(known), "term").groupBy("file_id", "block", "term").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    total = blocks.agg(F.count("*").alias("blocks"))
+    # both are small beside the texts, which are read twice and no more
+    hits = stored(words.join(F.broadcast(known), "term").groupBy("file_id", "block", "term").agg(F.count("*").alias("k"), F.first("n").alias("n")),
+                  "licence-terms")
+    heads = stored(blocks.groupBy("file_id").agg(F.min("block").alias("head"), F.count("*").alias("blocks")), "licence-heads")
+    total = heads.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # one row per template term, whatever the corpus
     weights = known.join(df, "term", "left").join(F.broadcast(total)).select(
@@ -75,8 +78,7 @@ def licence_blocks(files: DataFrame, body: str = "html", least: float = LEAST) -
               .withColumn("score", F.sqrt((F.col("dot") * F.col("dot")).cast("double") / (F.col("block_sq") * F.col("model_sq")).cast("double")))
               .where(F.col("score") >= least))
     nearest = scored.withColumn("r", F.row_number().over(W.partitionBy("file_id", "block").orderBy(F.desc("score"), "licence"))).where("r = 1")
-    head = blocks.groupBy("file_id").agg(F.min("block").alias("head"))
-    return nearest.join(head, "file_id").select("file_id", "block", (F.col("block") == F.col("head")).alias("header"), "licence", "score")
+    return nearest.join(heads, "file_id").select("file_id", "block", (F.col("block") == F.col("head")).alias("header"), "licence", "score")
 
 
 def scan(files: DataFrame, body: str = "html", least: float = LEAST) -> DataFrame:
@@ -94,7 +96,7 @@ def scan(files: DataFrame, body: str = "html", least: float = LEAST) -> DataFram
     differ; rows of one id are read as one file. Empty table: no rows.
     """
     named = files.select("file_id", path_of(F.col("url")).alias("path")).groupBy("file_id").agg(F.min("path").alias("path"))
-    stated = licence_blocks(files, body, least)
+    stated = stored(licence_blocks(files, body, least), "licences")
     first = W.partitionBy("file_id").orderBy(F.desc("score"), "block", "licence")
     own = (stated.withColumn("r", F.row_number().over(first)).where("r = 1").select("file_id", "licence", "score"))
     heads = stated.groupBy("file_id").agg(F.max("header").alias("header"))
