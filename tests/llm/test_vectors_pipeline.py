@@ -146,3 +146,29 @@ def test_pipeline_query(spark, small):
     rows = entry.queries()["pipeline"](spark, small).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
     assert len(corpus_pipeline.STAGES) == 5 and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+
+
+def five_word_sets(texts):
+    words = [t.lower().split() for t in texts]
+    return [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in words]
+
+
+def test_near_copies_go_by_five_word_similarity(spark):
+    """Edited copies at similarities on both sides of 0.8, chains among them, against all pairs."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(30):
+        words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 6):
+            for i in rng.choice(200, edits, replace=False):
+                words[i] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+    sets, root = five_word_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root)) and len(set(root)) < 150
