@@ -22,6 +22,8 @@ PLACES = LENGTH - GRAM + 1
 FOLDED, HASHED = 24 << 20, 2 << 20
 #: Bytes of one suffix array, and pieces that one key may bring to it.
 ARRAY, CROWD = 1 << 20, 4096
+#: Parts that the rows of one window of a crowded anchor are dealt to.
+SALTS = 16
 #: Documents with removals whose ids are sent to all executors, at most; beyond it both sides are shuffled.
 BROADCAST = 200_000
 
@@ -342,7 +344,8 @@ def cuts(docs: DataFrame) -> DataFrame:
        an anchor has different pieces, those go on, with their texts.
     3. Pieces meet in suffix arrays by anchor; equal windows are neighbours
        there, and all but the earliest are cut. Anchors with more than CROWD
-       pieces are dealt out by windows instead, equal ones meeting again.
+       pieces are dealt out by windows instead: the earliest of each window is
+       found in the tasks and by a sum, and told to all later ones, row by row.
     """
     rows = _identified(docs.where(F.octet_length("text") >= LENGTH)).select("_doc", "_tag", "text")
 
@@ -411,20 +414,41 @@ def cuts(docs: DataFrame) -> DataFrame:
     pieces = stored(pieces, "pieces")
     crowded = stored(pieces.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for doc, tag, at, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "at", "n", "text"))):
-                for k in range(n):
-                    window = data[k:k + LENGTH]
-                    key = int(np.uint64(xxhash.xxh3_64_intdigest(window, 9)).view(np.int64))
-                    for o, v in zip(out, (key, doc, tag, at + k, 1, window)):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, _PIECE.types)], schema=_PIECE)
-
+    occurrence = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("c", pa.int64())])
+    occurrence_ddl = "h1 long, h2 long, doc long, tag int, at long, c long"
+
+    def windows(least: bool):
+        """A row per window of the pieces, by its 128-bit hash; with ``least`` the earliest of each batch only and how many it stands for."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for a in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(a, 4096)
+                    doc, tag, at, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "tag", "at", "n"))
+                    digest = xxhash.xxh3_128_digest
+                    both = b"".join(digest(data[k:k + LENGTH], 9) for data, m in zip(batch.column("text").to_pylist(), n.tolist()) for k in range(m))
+                    h1, h2 = np.frombuffer(both, "<i8").reshape(-1, 2).T
+                    row = np.repeat(np.arange(len(n)), n)
+                    doc, tag, at = doc[row], tag[row], at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    c = np.ones(len(row), np.int64)
+                    if least:
+                        order = np.lexsort([at, tag, doc, h2, h1])
+                        start = np.flatnonzero((np.diff(h1[order], prepend=0) != 0) | (np.diff(h2[order], prepend=0) != 0) | (np.arange(len(order)) == 0))
+                        c = np.diff(np.append(start, len(order)))
+                        h1, h2, doc, tag, at = (x[order[start]] for x in (h1, h2, doc, tag, at))
+                    yield batch_of(occurrence, {"h1": h1, "h2": h2, "doc": doc, "tag": tag.astype(np.int32), "at": at, "c": c})
+        return run
+
+    by_windows = None
     if not crowded.isEmpty():
-        pieces = pieces.join(crowded, "key", "left_anti").unionByName(
-            pieces.join(crowded, "key", "left_semi").select("key", "doc", "tag", "at", "n", "text").mapInArrow(windows, pieces_ddl))
+        crowd = pieces.join(crowded, "key", "left_semi").select("doc", "tag", "at", "n", "text")
+        pieces = pieces.join(crowded, "key", "left_anti")
+        owners = stored(crowd.mapInArrow(windows(True), occurrence_ddl).groupBy("h1", "h2")
+                        .agg(F.min(F.struct("doc", "tag", "at")).alias("owner"), F.sum("c").alias("c")).where("c > 1").select("h1", "h2", "owner"), "owners")
+        salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        by_windows = (crowd.mapInArrow(windows(False), occurrence_ddl)
+                      .withColumn("salt", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALTS)).cast("int"))
+                      .join(salted, ["h1", "h2", "salt"]).where(F.struct("doc", "tag", "at") != F.col("owner"))
+                      .select("doc", "tag", "at", F.lit(LENGTH).cast("long").alias("n")))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -455,6 +479,8 @@ def cuts(docs: DataFrame) -> DataFrame:
 
     late = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc long, tag int, at long, n long")
     every = found.where(F.col("kind") == CUT).select("doc", "tag", "at", "n").unionByName(late)
+    if by_windows is not None:
+        every = every.unionByName(by_windows)
     return stored(every.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n")).alias("cuts")), "cuts")
 
 

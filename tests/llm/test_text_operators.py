@@ -200,6 +200,24 @@ def test_repeated_passages(spark, monkeypatch, folded, crowd):
     assert all(r["n_chars"] == len(r["text"]) or r["text"] in texts for r in left.collect())
 
 
+def test_a_common_footer_fills_no_array(spark, monkeypatch):
+    """Equal windows between different texts are cut without meeting in one suffix array."""
+    monkeypatch.setattr(suffixes, "CROWD", 20)
+    monkeypatch.setattr(suffixes, "ARRAY", 1000)
+    plain = suffixes.repeated
+
+    def bounded(texts, n, owner):
+        assert sum(map(len, texts)) < 20_000
+        return plain(texts, n, owner)
+
+    monkeypatch.setattr(suffixes, "repeated", bounded)
+    rng = random.Random(8)
+    line = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    footer = line(150)
+    rows = [(i, line(90) + footer + line(90)) for i in range(300)]
+    check_removals(rows, suffixes.removals(docs(spark, [(i, t, "en", "a") for i, t in rows])))
+
+
 def test_removals_of_awkward_rows(spark):
     got = suffixes.removals(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and {r["n_removed"] for r in got if r["doc_id"] == 4} == {0}
