@@ -118,7 +118,8 @@ SHARDS = "part int, seq int, docs long, ids long, image binary"
 DOCUMENTS = "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1, shard_bytes: int = SHARD_BYTES,
+                 added: bool = False) -> DataFrame:
     """Tokenizes and writes shard images to a table in the shared folder; returns it as read back.
 
     Shards follow each other by (part, seq) in ascending document order.
@@ -142,7 +143,7 @@ def write_shards(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1, sh
         if ids:
             yield close()
 
-    return stored(tokenized(docs, tokenizer, end_id).select("doc_id", "ids", "part", "width").mapInArrow(run, SHARDS), "token-shards")
+    return stored(tokenized(docs, tokenizer, end_id, added).select("doc_id", "ids", "part", "width").mapInArrow(run, SHARDS), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -170,4 +171,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null text: only the end id. Null ids come first, repeated ids one after the other. Empty table: no rows."""
-    return read_documents(write_shards(table(spark, sf_dir, "documents")))
+    return read_documents(write_shards(table(spark, sf_dir, "documents"), added=True))

@@ -114,7 +114,8 @@ class Schedule:
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, row_id long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 1, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 1, window: int = WINDOW, with_ids: bool = True,
+         added: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of ``window`` tokens. ``ids`` are a piece's little-endian 32-bit ids.
 
     ``row_id`` tells the rows of one doc_id apart.
@@ -127,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 1, window: in
     Null text: only the end id. Null sources are one queue. Repeated rows are
     packed each. Empty table: no rows. One number per source goes to the driver.
     """
-    rows = stored(tokenized(docs, tokenizer, end_id), "packed-ids")
+    rows = stored(tokenized(docs, tokenizer, end_id, added), "packed-ids")
     per = rows.groupBy("part", "source").agg(F.sum("n").alias("n"))
     sums = {r[0]: r[1] for r in per.groupBy("source").agg(F.sum("n")).collect()}
     names = sorted(sums, key=lambda s: (s is None, s or ""))
@@ -173,4 +174,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents"), with_ids=False))
+    return digest(pack(table(spark, sf_dir, "documents"), with_ids=False, added=True))

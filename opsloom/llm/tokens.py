@@ -44,21 +44,28 @@ def _model_words(tokenizer, spec: dict):
     return direct if all(direct(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in probes) else None
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
     """text -> its ids, little-endian, two bytes each (four where the vocabulary is larger).
 
     Texts are cut at places where the whole text is cut anyway, and the ids of
-    a piece are remembered, so that a word is encoded once per worker. Strings
-    of special tokens are ordinary text.
+    a piece are remembered, so that a word is encoded once per worker. With
+    ``added`` the strings of added tokens get their own ids, as the library
+    does it unless told otherwise; without it they are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
     kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
     with open(path, encoding="utf-8") as f:
-        direct = _model_words(tokenizer, json.load(f))
+        spec = json.load(f)
+    direct = _model_words(tokenizer, spec)
+    tokens = spec.get("added_tokens") or [] if added else []
+    # the library cuts the text at plain ones before anything else, the longest of several first
+    own = {t["content"]: array.array(kind, [t["id"]]).tobytes() for t in tokens}
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split if own else None
+    cuttable = not any(t[k] for t in tokens for k in ("normalized", "lstrip", "rstrip", "single_word"))
 
     class Pieces(dict):
         def __missing__(self, piece: str) -> bytes:
@@ -73,25 +80,29 @@ def encoder(path: str) -> Callable[[str], bytes]:
         if len(pieces) > CACHED:
             pieces.clear()
             pieces[""] = b""
+        if not cuttable:
+            return array.array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if apart and len(parts := apart(text)) > 1:
+            return b"".join(own[p] if i % 2 else b"".join(map(find, split(p))) for i, p in enumerate(parts))
         return b"".join(map(find, split(text)))
 
     encode.width = 2 if kind == "H" else 4
     return encode
 
 
-def cached_encoder(name: str) -> Callable[[str], bytes]:
+def cached_encoder(name: str, added: bool = False) -> Callable[[str], bytes]:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if name not in _loaded:
+    if (name, added) not in _loaded:
         _loaded.clear()
-        _loaded[name] = encoder(name if os.path.sep in name else public_tokenizers.path(name))
+        _loaded[name, added] = encoder(name if os.path.sep in name else public_tokenizers.path(name), added)
         gc.set_threshold(500_000, 50, 100)  # many small kept objects, hardly any cycles
-    return _loaded[name]
+    return _loaded[name, added]
 
 
 TOKENS = "part int, row long, doc_id long, source string, n long, before long, width int, ids binary"
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, added: bool = False) -> DataFrame:
     """One row per document, dealt by ranges of doc_id and in that order inside a part.
 
     n counts the ids with the closing ``end_id``, before those of earlier
@@ -102,7 +113,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                         ("before", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = cached_encoder(tokenizer)
+        encode = cached_encoder(tokenizer, added)
         end = np.array([end_id], "<u2" if encode.width == 2 else "<u4").tobytes()
         part, row, before = TaskContext.get().partitionId(), 0, {}
         for whole in batches:

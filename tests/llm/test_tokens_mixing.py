@@ -180,3 +180,23 @@ def test_flight_keeps_both_totals():
         x = mixing._flight(sizes, chance, rng, False)
         assert sum(0 < v < 1 for v in x) <= 2
         assert abs(sum(x) - sum(chance)) < 1e-6 and abs(sum(a * b for a, b in zip(x, sizes)) - sum(a * b for a, b in zip(chance, sizes))) < 1e-3
+
+
+SPECIAL = ["end <|endoftext|> next", "<|endoftext|>", "a<|startoftext|>b<|endoftext|><|endoftext|>", " x  <|endoftext|>\n y it's<|endoftext|>'s", "<|ENDOFTEXT|> <|end"]
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_added_tokens_as_the_unmodified_library(name):
+    path = public_tokenizers.path(name)
+    own, lib = encoder(path, added=True), Tokenizer.from_file(path)
+    for text in SPECIAL + [t for _, t, _, _ in AWKWARD if t]:
+        assert np.frombuffer(own(text), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids, text[:50]
+
+
+def test_queries_read_added_tokens(spark, tmp_path):
+    docs(spark, [(i, t, "en", "a") for i, t in enumerate(SPECIAL)]).write.parquet(str(tmp_path / "documents.parquet"))
+    for query, name in (("op10_token_shards", WORD_BPE), ("op5_mixture_packing", BYTE_BPE)):
+        lib = Tokenizer.from_file(public_tokenizers.path(name))
+        got = entry.queries()[query](spark, str(tmp_path)).collect()
+        size = {r["doc_id"]: r["n_tokens"] if query.startswith("op10") else r["doc_tokens"] for r in got}
+        assert size == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(SPECIAL)}
