@@ -12,6 +12,7 @@ from opsloom.llm.packing import op5_mixture_packing
 from opsloom.llm.simhash import op2_simhash_pivots
 from opsloom.llm.suffixes import op7_suffix_dedup
 from opsloom.llm.toxicity import op9_toxicity
+from opsloom.llm.variants import OP13_SQL, op13_pivotal_variants
 
 QUERIES = {
     "op1_learned_partitions": (op1_learned_partitions, None),
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_maxscore": (op8_maxscore, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_token_shards": (op10_token_shards, None),
+    "op13_pivotal_variants": (op13_pivotal_variants, OP13_SQL),
 }
