@@ -7,6 +7,7 @@ from opsloom.llm.language import op3_language_id
 from opsloom.llm.licenses import OP4_SQL, op4_license_scan
 from opsloom.llm.maxscore import OP8_SQL, op8_maxscore
 from opsloom.llm.mixing import op6_cube_mix
+from opsloom.llm.negatives import OP11_SQL, op11_bond_negatives
 from opsloom.llm.neighbours import op1_learned_partitions
 from opsloom.llm.packing import op5_mixture_packing
 from opsloom.llm.simhash import op2_simhash_pivots
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_maxscore": (op8_maxscore, OP8_SQL),
     "op9_toxicity": (op9_toxicity, None),
     "op10_token_shards": (op10_token_shards, None),
+    "op11_bond_negatives": (op11_bond_negatives, OP11_SQL),
     "op13_pivotal_variants": (op13_pivotal_variants, OP13_SQL),
 }

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 VECTORS, QUERIES = 8192, 4096
 
 
-def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
-    """vec_id, v: rows with an id and a vector of finite components; ``zero`` says whether zero vectors count."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+def usable(embeddings: DataFrame, zero: bool, more: list[str] | None = None) -> DataFrame:
+    """vec_id, v and columns ``more``: rows with an id and a vector of finite components; ``zero`` says whether zero vectors count."""
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), *more or [])
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall(
         "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(fine)
