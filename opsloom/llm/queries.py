@@ -5,6 +5,7 @@ from __future__ import annotations
 from opsloom.llm.binary_output import op10_token_shards
 from opsloom.llm.language import op3_language_id
 from opsloom.llm.licenses import OP4_SQL, op4_license_scan
+from opsloom.llm.linequality import op12_line_field
 from opsloom.llm.maxscore import OP8_SQL, op8_maxscore
 from opsloom.llm.mixing import op6_cube_mix
 from opsloom.llm.negatives import OP11_SQL, op11_bond_negatives
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_token_shards": (op10_token_shards, None),
     "op11_bond_negatives": (op11_bond_negatives, OP11_SQL),
+    "op12_line_field": (op12_line_field, None),
     "op13_pivotal_variants": (op13_pivotal_variants, OP13_SQL),
 }
