@@ -145,7 +145,7 @@ def test_stages_of_awkward_and_empty_tables(spark):
 def test_pipeline_query(spark, small):
     rows = entry.queries()["pipeline"](spark, small).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
-    assert len(corpus_pipeline.STAGES) == 5 and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert len(corpus_pipeline.STAGES) == 5 and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
 
 
 def five_word_sets(texts):
