@@ -6,9 +6,12 @@ offsets; the stretches between the matches give the places.
 
 from __future__ import annotations
 
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom import rules as R
@@ -17,6 +20,8 @@ from opsloom.operators.search import best_per
 SPAN = "struct<text:string,label:string,start:int,end:int,confidence:double>"
 _TEXT_RULES = ([(label, 0.8, p, re.I) for label, p in R.ENTITY_PATTERNS] + [("IP_ADDRESS", 0.9, R.IP_PATTERN, 0)]
                + [("TIMESTAMP", 0.95, p, 0) for p in R.TIMESTAMP_PATTERNS])
+#: What every match of these labels holds; a short pattern that is cheap to test before the long ones.
+_NEEDED_SIGNS = {"IP_ADDRESS": r"[0-9]\.[0-9]", "TIMESTAMP": r"(?U)\d:\d"}
 _QUESTION_RULES = [(label, conf, p, re.I) for label, conf, p in R.QUESTION_PATTERNS]
 
 
@@ -27,27 +32,25 @@ def _needed_word(pattern: str, flags: int) -> str:
     return max(re.findall(r"[a-z]{3,}", re.sub(r"\\.|\[[^\]]*\][?*+]?|[a-z]\?", " ", pattern)), key=len, default="")
 
 
-def _spans(text: Column, rules, lower_after: int | None = None) -> Column:
-    """Spans of all rules in rule order; rules from ``lower_after`` on see lowered text."""
-    none = F.array().cast(f"array<{SPAN}>")
+def _hits(text: Column, rules, lower_after: int | None = None) -> Column:
+    """All matches of all rules with the length of the stretch before each; rules from ``lower_after`` on see lowered text."""
     folded = F.lower(F.upper(text))
 
     def of(i: int, label: str, confidence: float, pattern: str, flags: int) -> Column:
         src = F.lower(text) if lower_after is not None and i >= lower_after else text
         rx = F.lit(("(?iU)" if flags & re.I else "(?U)") + pattern)
-        parts = F.arrays_zip(F.split(src, rx, -1).alias("gap"), F.regexp_extract_all(src, rx, F.lit(0)).alias("hit"))
-
-        def add(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            span = F.struct(x["hit"].alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
-                            F.lit(confidence).cast("double").alias("confidence"))
-            return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")))
-
-        found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+        hits = F.zip_with(F.split(src, rx, -1), F.regexp_extract_all(src, rx, F.lit(0)), lambda gap, hit: F.struct(
+            F.lit(i).alias("rule"), F.length(gap).alias("gap"), hit.alias("text"), F.lit(label).alias("label"),
+            F.lit(confidence).cast("double").alias("confidence")))
         word = _needed_word(pattern, flags)
-        seen = text.isNotNull() & (folded.contains(word) if word else F.lit(True))
-        return F.when(seen, found).otherwise(none)
+        choice = re.fullmatch(r"\\b\(([A-Za-z|]+)\)\\b", pattern)
+        if word:
+            seen = folded.contains(word)
+        elif choice and flags & re.I:
+            seen = reduce(operator.or_, [folded.contains(w.lower()) for w in choice[1].split("|")])
+        else:
+            seen = F.rlike(src, F.lit(_NEEDED_SIGNS[label])) if label in _NEEDED_SIGNS else F.lit(True)
+        return F.when(text.isNotNull() & seen, hits).otherwise(F.array().cast("array<struct<rule:int,gap:int,text:string,label:string,confidence:double>>"))
 
     return F.concat(*[of(i, *rule) for i, rule in enumerate(rules)])
 
@@ -69,7 +72,10 @@ def merge_overlaps(spans: Column, append: bool = False) -> Column:
     the newcomer at the end; then the order is also by end.
     """
     numbered = F.transform(spans, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
-    ordered = F.transform(F.array_sort(numbered, _span_order(append)), lambda x: x["s"])
+    return _folded(F.transform(F.array_sort(numbered, _span_order(append)), lambda x: x["s"]), append)
+
+
+def _folded(ordered: Column, append: bool) -> Column:
     start = F.array().cast(f"array<{SPAN}>")
 
     def add(kept: Column, new: Column) -> Column:
@@ -83,30 +89,50 @@ def merge_overlaps(spans: Column, append: bool = False) -> Column:
     return F.aggregate(ordered, start, add)
 
 
-def _span_rows(merged: DataFrame, key: str) -> DataFrame:
-    # outer: an inner explode would infer a size filter and merge the spans a second time for it
-    rows = merged.select(key, F.posexplode_outer("_s").alias("ord", "e")).filter("ord is not null")
-    return rows.select(key, "ord", "e.*")
+def merged_spans(docs: DataFrame, key: str, text: Column, rules, lower_after: int | None = None, append: bool = False,
+                 normal: Column | None = None) -> DataFrame:
+    """(key, ord, text, label, start, end, confidence): the matches of all rules without overlaps, in order.
+
+    The matches travel once, by their text's row, and stay there: running sums
+    give their places, the running maximum of their ends cuts a text into
+    islands of spans that hang together, and only an island is folded by the
+    rule of ``merge_overlaps``. A text of many spans costs in proportion.
+    ``normal`` restates a span's text before the fold.
+    """
+    # outer: an inner explode would infer a size filter and match the patterns a second time for it
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), _hits(text, rules, lower_after).alias("_all"))
+    hits = found.select("_row", key, F.posexplode_outer("_all").alias("_i", "_h"))
+    hits = hits.filter("_h.text is not null").select("_row", key, "_i", "_h.*").repartition("_row")
+    by_rule = W.partitionBy("_row", "rule").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("text")).over(by_rule).cast("int")
+    spans = hits.withColumn("end", end).withColumn("start", F.col("end") - F.length("text"))
+    order = ["start", "end", "rule", "_i"] if append else ["start", "rule", "_i"]
+    ahead = W.partitionBy("_row").orderBy(*order)
+    told = (spans if normal is None else spans.withColumn("text", normal)).withColumns({
+        "_k": F.row_number().over(ahead), "_far": F.max("end").over(ahead.rowsBetween(W.unboundedPreceding, -1))})
+    cut = told.withColumn("_island", F.sum(F.when(F.col("start") < F.col("_far"), 0).otherwise(1)).over(ahead.rowsBetween(W.unboundedPreceding, 0)))
+    span = F.struct("text", "label", "start", "end", "confidence").cast(SPAN)
+    islands = cut.groupBy("_row", "_island").agg(F.first(key).alias(key), F.sort_array(F.collect_list(F.struct("_k", span.alias("s")))).alias("_s"))
+    plain = F.transform("_s", lambda x: x["s"])
+    kept = islands.select("_row", "_island", key, F.when(F.size("_s") == 1, plain).otherwise(_folded(plain, append)).alias("_s"))
+    rows = kept.select("_row", "_island", key, F.posexplode_outer("_s").alias("_n", "e"))
+    place = F.row_number().over(W.partitionBy("_row").orderBy("_island", "_n")) - 1
+    return rows.select(key, place.alias("ord"), "e.*")
 
 
 def extract_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ord, text, label, start, end, confidence), one row per entity of each text."""
-    spans = _spans(F.col(text), _TEXT_RULES)
-    merged = docs.select(F.col(doc_id).alias("doc_id"), spans.alias("_s")).select(
-        "doc_id", merge_overlaps(F.col("_s")).alias("_s"))
-    return _span_rows(merged, "doc_id")
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return merged_spans(named, "doc_id", F.col("text"), _TEXT_RULES)
 
 
 def question_entities(questions: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """Services, components, incidents and operations that questions name; service names normalized."""
     from opsloom.functions.text import normalize_service
 
-    spans = _spans(F.col(query), _QUESTION_RULES, lower_after=3)
-    normal = F.transform("_s", lambda s: F.when(
-        s["label"] == "SERVICE", s.withField("text", normalize_service(F.trim(s["text"])))).otherwise(s))
-    out = questions.select(F.col(query_id).alias("query_id"), spans.alias("_s")).select("query_id", normal.alias("_s"))
-    merged = out.select("query_id", merge_overlaps(F.col("_s"), append=True).alias("_s"))
-    return _span_rows(merged, "query_id")
+    normal = F.when(F.col("label") == "SERVICE", normalize_service(F.trim("text"))).otherwise(F.col("text"))
+    named = questions.select(F.col(query_id).alias("query_id"), F.col(query).alias("text"))
+    return merged_spans(named, "query_id", F.col("text"), _QUESTION_RULES, lower_after=3, append=True, normal=normal)
 
 
 def of_label(entities: DataFrame, prefix: str) -> DataFrame:

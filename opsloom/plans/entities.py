@@ -88,16 +88,19 @@ def _span_sql(source: str, key: str, rules, lower_after: int | None = None, appe
     """CTEs that leave ``ent`` (key, ord, text, label, start, "end", confidence) of ``source`` (key, text).
 
     The engine's word classes know ASCII only, so other letters and digits stand as Z and other signs as # in the text that
-    patterns see; both keep their places.
+    patterns see; both keep their places. Words of a pattern that are not ASCII stand as as many Z between word borders; what
+    they match is then compared with the pattern itself.
     """
     mask = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}]', '#', 'g'), '[^\\x00-\\x7F]', 'Z', 'g')"
     parts = []
     for i, (label, confidence, pattern, flags) in enumerate(rules):
         low = lower_after is not None and i >= lower_after
-        rx = quote(("(?i)" if flags & re.I else "") + pattern)
+        masked = re.sub(r"[^\x00-\x7f]+", lambda m: f"Z{{{len(m[0])}}}", pattern)
+        rx = quote(("(?i)" if flags & re.I else "") + masked)
+        whole = "null" if masked == pattern else quote("(?i)" + pattern.replace("\\b", ""))
         seen = "lower(mask)" if low else "mask"
         parts.append(f"select {key}, {i} as rule, '{label}' as label, cast({confidence} as double) as confidence, regexp_extract_all({seen}, {rx}) as m, "
-                     f"string_split_regex({seen}, {rx}) as s, {'lower(text)' if low else 'text'} as src from masked")
+                     f"string_split_regex({seen}, {rx}) as s, {'lower(text)' if low else 'text'} as src, {whole} as whole from masked")
     order = 'start, "end", rule, i' if append else "start, rule, i"
     swapped = "list_concat(list_concat(kept[1:pos - 1], kept[pos + 1:]), [x])" if append else "list_concat(list_concat(kept[1:pos - 1], [x]), kept[pos + 1:])"
     return f"""masked as (select {key}, text, {mask} as mask from {source}),
@@ -105,7 +108,7 @@ found as ({" union all ".join(parts)}),
 place as (select *, list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0)
   as start, length(m[i]) as n from (select *, unnest(range(1, len(m) + 1)) as i from found)),
 span as (select {key}, rule, i, cast(start as integer) as start, cast(start + n as integer) as "end", {normal.format(x="substr(src, cast(start as bigint) + 1, n)")} as text,
-  label, confidence from place),
+  label, confidence from place where whole is null or regexp_full_match(substr(src, cast(start as bigint) + 1, n), whole)),
 turn as (select {key}, row_number() over (partition by {key} order by {order}) as k,
   {{'text': text, 'label': label, 'a': start, 'b': "end", 'c': confidence}} as x from span),
 merged as (select distinct {key}, cast(0 as bigint) as k, cast([] as struct("text" varchar, "label" varchar, a integer, b integer, c double)[]) as kept from turn
@@ -144,7 +147,7 @@ QUERIES = {
     "entity_rows": (entity_rows, f"{ENTITY_CTE} select * from ent"),
     "entity_counts": (entity_counts, f"{ENTITY_CTE} select doc_id, label, count(*) as n from ent group by 1, 2"),
     "relation_rows": (relation_rows, _relation_sql()),
-    "question_entities": (question_entities, None),
+    "question_entities": (question_entities, f"{QUESTION_CTE} select * from ent"),
     "question_services": (question_services, f"""{QUESTION_CTE} select text as service, count(distinct query_id) as questions from ent
       where label = 'SERVICE' group by 1"""),
     "ip_entities": (ip_entities, IP_SQL),

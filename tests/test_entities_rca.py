@@ -86,3 +86,51 @@ def test_retrieval_quality(spark):
     rel = spark.createDataFrame([(1, 10), (1, 99), (2, 5)], "query_id int, doc_id int")
     rows = {r.query_id: r for r in S.retrieval_quality(ranked, rel, 2).collect()}
     assert (rows[1].precision, rows[1].recall, rows[1].f1, rows[2].recall) == (0.5, 0.5, 0.5, 0.0)
+
+
+def _span_frame(spark, n, chain):
+    """A text of n names; with ``chain`` all in one island of overlapping spans."""
+    word = "cpu usage " if not chain else "host-node-"
+    return spark.createDataFrame([(1, word * n), (2, None), (3, "")], "doc_id int, text string")
+
+
+def test_islands_equal_one_fold(spark):
+    """Islands against the rule applied to all spans of a text, both orders, for many small texts."""
+    import random
+    rng, words = random.Random(4), ["order-service", "host-api", "node-3", "error", "pod-error", "10.0.0.1", "service-b", "cpu", "LB", "Service_A1", "ERROR", "2024-01-01 00:00:00"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "-", "", "_"]) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    d = docs(spark, *texts)
+    for rules, lower, append in ((E._TEXT_RULES, None, False), (E._QUESTION_RULES, 3, True)):
+        spans = E.merged_spans(d, "doc_id", F.col("text"), rules, lower, append)
+        got = {}
+        for r in spans.orderBy("doc_id", "ord").collect():
+            got.setdefault(r.doc_id, []).append((r.text, r.label, r.start, r.end, r.confidence))
+        hits = d.select("doc_id", E._hits(F.col("text"), rules, lower).alias("h")).collect()
+        for row in hits:
+            at, all_ = {}, []
+            for h in row.h:
+                start = at.get(h.rule, 0) + h.gap
+                if h.text is not None:
+                    at[h.rule] = start + len(h.text)
+                    all_.append((h.text, h.label, start, start + len(h.text), h.confidence))
+            order = sorted(range(len(all_)), key=lambda i: (all_[i][2], all_[i][3], i) if append else (all_[i][2], i))
+            kept = []
+            for s in (all_[i] for i in order):
+                k = next((i for i, o in enumerate(kept) if s[2] < o[3] and s[3] > o[2]), None)
+                if k is None:
+                    kept.append(s)
+                elif s[4] > kept[k][4]:
+                    kept[k:k + 1] = [] if append else [s]
+                    kept += [s] if append else []
+            assert got.get(row.doc_id, []) == kept
+
+
+def test_spans_of_a_long_text_cost_in_proportion(spark):
+    import time
+    seconds = []
+    for n in (1000, 10_000, 20_000):
+        d = _span_frame(spark, n, False)
+        start = time.time()
+        assert E.extract_entities(d).count() == n
+        seconds.append(time.time() - start)
+    assert seconds[2] < 6 * max(seconds[1], 1.0)
