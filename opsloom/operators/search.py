@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from opsloom import rules as R
 from opsloom.functions.vectors import certainty
-from opsloom.session import cut_lineage
 
 #: Questions that are sent to all tasks at most, and of one block beyond that; documents of one block.
 QUERIES_PER_PASS = 1024
@@ -308,52 +307,3 @@ def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Da
         "query_id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
         F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"),
         F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
-
-
-# ------------------------------------------------------------------ leader clustering
-def leader_clusters(items: DataFrame, threshold: float = R.LEADER_THRESHOLD, per_round: int = 2000) -> DataFrame:
-    """(item_id, leader_id): an item joins the first earlier leader with cosine over the threshold, else leads.
-
-    Equals the sequential rule in item_id order. Each round settles the first
-    ``per_round`` undecided items in one small matrix, then one pass over the
-    other items assigns those near a new leader. Memory per task and on the
-    driver is bounded by ``per_round`` vectors; a group of near copies of any
-    size disappears in the round its leader is found. No pairs are formed.
-    """
-    id_type = items.schema["item_id"].dataType.simpleString()
-    schema = f"item_id {id_type}, vector array<float>, leader_id {id_type}"
-    rest = items.select("item_id", "vector")
-    decided = None
-    while True:
-        head = rest.orderBy("item_id").limit(per_round).toPandas()
-        if head.empty:
-            break
-        ids = head["item_id"].to_numpy()
-        unit = _unit(np.stack(head["vector"].map(np.asarray)).astype("float64"))
-        near = np.round(unit @ unit.T, _DIGITS) > threshold
-        leaders: list[int] = []
-        for i in range(len(ids)):
-            if not near[i, leaders].any():
-                leaders.append(i)
-        lead_ids, lead_unit = ids[leaders], unit[leaders]
-
-        def assign(batches, lead_ids=lead_ids, lead_unit=lead_unit):
-            for batch in batches:
-                if batch.empty:
-                    continue
-                s = np.round(_unit(np.stack(batch["vector"].map(np.asarray)).astype("float64")) @ lead_unit.T, _DIGITS)
-                own = batch["item_id"].to_numpy()[:, None] == lead_ids[None, :]
-                # only a leader that comes before the item counts, or the item itself
-                hit = ((s > threshold) & (lead_ids[None, :] < batch["item_id"].to_numpy()[:, None])) | own
-                first = hit.argmax(axis=1)
-                yield batch.assign(leader_id=[lead_ids[f] if h else None for f, h in zip(first, hit.any(axis=1))])
-
-        step = cut_lineage(rest.mapInPandas(assign, schema))
-        done = step.filter("leader_id is not null").select("item_id", "leader_id")
-        decided = done if decided is None else decided.unionByName(done)
-        rest = step.filter("leader_id is null").select("item_id", "vector")
-        if len(head) < per_round:
-            break
-    if decided is None:
-        return rest.select("item_id", F.col("item_id").alias("leader_id"))
-    return decided

@@ -8,6 +8,7 @@ from opsloom import rules as R
 from opsloom.functions import documents as D
 from opsloom.functions import vectors as V
 from opsloom.operators import filters as FL
+from opsloom.operators import clusters as leaders
 from opsloom.operators import search as S
 from opsloom.plans import bindings as B
 from opsloom.plans.sqltext import any_like
@@ -267,13 +268,13 @@ select query_id, doc_id, round(final_score, 6) as final_score, search_source, ra
 
 def leader_clusters(spark, d):
     items = B.table(spark, d, "embeddings").select(c("vec_id").alias("item_id"), c("embedding").alias("vector"))
-    return S.leader_clusters(items, 0.3)
+    return leaders.leader_clusters(items, 0.3)
 
 
 def text_clusters(spark, d):
     """Near copies of whole texts: leader clusters over hashed term vectors."""
     docs = B.table(spark, d, "documents").select(c("doc_id").alias("item_id"), c("text").alias("content"))
-    return S.leader_clusters(V.encode_texts(docs)).groupBy("leader_id").agg(F.count("*").alias("n"))
+    return leaders.leader_clusters(V.encode_texts(docs)).groupBy("leader_id").agg(F.count("*").alias("n"))
 
 
 def text_vectors(spark, d):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import vectors as V
 from opsloom.operators import filters as FL
+from opsloom.operators import clusters
 from opsloom.operators import search as S
 
 
@@ -52,12 +53,24 @@ def test_leader_clusters_equal_sequential_rule(spark):
     m = np.repeat(rng.normal(size=(12, 6)), 15, axis=0) + rng.normal(scale=0.35, size=(180, 6))
     m[60:120] = m[7]  # a third of all rows are copies
     m = m.astype("float32").astype("float64")
-    for per_round in (10, 1000):
-        rows = S.leader_clusters(vectors(spark, m, "item_id").repartition(4), 0.8, per_round).collect()
+    for in_task in (1, 10, 1000):
+        rows = clusters.leader_clusters(vectors(spark, m, "item_id").repartition(4), 0.8, in_task).collect()
         got = {r.item_id: r.leader_id for r in rows}
         assert [got[i] for i in range(180)] == sequential_leaders(m, 0.8)
 
 
+def test_leaders_of_chains_and_awkward_vectors(spark):
+    """A chain in which each item is near the one before only; zero, null and repeated vectors; no items."""
+    chain = [[float(np.cos(0.5 * i)), float(np.sin(0.5 * i))] for i in range(10)]
+    rows = [(i, v) for i, v in enumerate(chain)] + [(20, [0.0, 0.0]), (21, [0.0, 0.0]), (22, None), (23, chain[3]), (24, chain[3])]
+    df = spark.createDataFrame(rows, "item_id int, vector array<float>")
+    for in_task in (1, 3, 100):
+        got = {r.item_id: r.leader_id for r in clusters.leader_clusters(df, 0.8, in_task).collect()}
+        want = dict(zip(range(10), sequential_leaders(np.array(chain), 0.8)))
+        assert got == want | {20: 20, 21: 21, 23: want[3], 24: want[3]}
+    assert clusters.leader_clusters(df.where("item_id < 0")).count() == 0
+
+
 def test_bm25_ranks_and_prefix(spark):
     docs = spark.createDataFrame([(1, "mysql slow query mysql"), (2, "mysql fine"), (3, "redis cache")], "doc_id int, content string")
     asks = spark.createDataFrame([(1, "Mysql slow"), (2, "nothing here")], "query_id int, query string")
