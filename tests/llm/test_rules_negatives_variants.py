@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from opsloom.llm import linequality, negatives, tiles, variants
+from opsloom.llm import linequality, negatives, variants
 from opsloom.llm.vectors import usable
+from opsloom.operators import tiles
 from tests.llm.rows import AWKWARD, docs
 from tests.llm.test_vectors_pipeline import BAD, random_rows
 from tools.check_queries import rows_of
