@@ -13,10 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsloom.llm.common import batch_of, stored, table
-from opsloom.llm.tokens import WORD_BPE, tokenized, wide
+from opsloom.llm.tokens import WORD_BPE, encoded, wide
 
 #: Bytes of ids after which a shard is closed.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: One select sample per so many values.
 SAMPLE = 256
 _MAGIC = b"TOKEF001"
@@ -143,7 +143,7 @@ def write_shards(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1, sh
         if ids:
             yield close()
 
-    return stored(tokenized(docs, tokenizer, end_id, added).select("doc_id", "ids", "part", "width").mapInArrow(run, SHARDS), "token-shards")
+    return stored(encoded(docs, tokenizer, end_id, added).select("doc_id", "ids", "part", "width").mapInArrow(run, SHARDS), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, image in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "image"))):
                 shard = Shard(image)
-                at = shard.bounds.values()
+                at = np.fromiter((shard.bounds[i] for i in range(shard.n + 1)), np.int64, shard.n + 1)  # offsets by select
                 tokens = memoryview(wide(shard.tokens.tobytes(), shard.width).tobytes())
                 yield batch_of(schema, {"part": [part] * shard.n, "seq": [seq] * shard.n, "doc_id": shard.doc_ids, "start": at[:-1],
                                         "n_tokens": np.diff(at), "ids_crc32": [zlib.crc32(tokens[4 * a:4 * b]) for a, b in zip(at, at[1:])]})

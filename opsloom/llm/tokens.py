@@ -7,20 +7,22 @@ import gc
 import json
 import os
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.common import batch_of, sliced
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Ids kept per worker; a worker starts anew beyond it.
-CACHED = 400_000
+#: Bytes of pieces and ids that a worker keeps; it starts anew beyond them. Longer pieces are not kept.
+CACHED, PIECE, ENTRY = 64 << 20, 64, 200
+#: Sampled ids for each part of the id ranges.
+PER_PART = 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _EDGE = r"\n -&(-@\[-`{-~"
 #: A word that every pre-tokenizer of this kind cuts out whole: letters up to a plain ASCII sign, with the blank before
@@ -68,18 +70,23 @@ def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
     cuttable = not any(t[k] for t in tokens for k in ("normalized", "lstrip", "rstrip", "single_word"))
 
     class Pieces(dict):
+        held = 0
+
         def __missing__(self, piece: str) -> bytes:
             ids = direct(piece) if direct and _PLAIN.match(piece) else tokenizer.encode(piece, add_special_tokens=False).ids
-            self[piece] = out = array.array(kind, ids).tobytes()
+            out = array.array(kind, ids).tobytes()
+            if len(piece) <= PIECE:
+                self[piece] = out
+                self.held += ENTRY + len(piece) + len(out)
             return out
 
     pieces = Pieces({"": b""})
     find, split = pieces.__getitem__, _CUT.split
 
     def encode(text: str) -> bytes:
-        if len(pieces) > CACHED:
+        if pieces.held > CACHED:
             pieces.clear()
-            pieces[""] = b""
+            pieces[""], pieces.held = b"", 0
         if not cuttable:
             return array.array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if apart and len(parts := apart(text)) > 1:
@@ -99,39 +106,73 @@ def cached_encoder(name: str, added: bool = False) -> Callable[[str], bytes]:
     return _loaded[name, added]
 
 
-TOKENS = "part int, row long, doc_id long, source string, n long, before long, width int, ids binary"
+LEAST_ID = -(1 << 63)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, added: bool = False) -> DataFrame:
+def id_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Bounds between ``parts`` ranges of doc_id from a sample of ids alone; null ids count as the least."""
+    n = docs.count()
+    drawn = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id")).sample(min(1.0, PER_PART * parts / max(1, n)), 17)
+    ids = np.sort(np.array([r["id"] for r in drawn.collect()], np.int64))
+    return ids[np.arange(1, parts) * len(ids) // parts] if len(ids) else ids
+
+
+def part_of(bounds: np.ndarray, ids: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The range of each id. An id that is several bounds (a hot one) is dealt to the ranges between them by its salt."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    return (low + salt % (high - low + 1)).astype(np.int32)
+
+
+ENCODED = "part int, doc_id long, source string, n long, width int, ids binary"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, added: bool = False) -> DataFrame:
     """One row per document, dealt by ranges of doc_id and in that order inside a part.
 
-    n counts the ids with the closing ``end_id``, before those of earlier
-    documents of the same source in the same part. Null text is empty.
-    Repeated ids stay apart and lie beside each other, ordered by text.
+    n counts the ids with the closing ``end_id``. Null text is empty. Texts are
+    encoded where they are read, so that ids and not texts are shuffled and no
+    text is read for the ranges. Null ids come first. Rows of one id stay
+    apart; they lie beside each other, in the order of their ids.
     """
-    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()),
-                        ("before", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = id_bounds(docs, parts)
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = cached_encoder(tokenizer, added)
         end = np.array([end_id], "<u2" if encode.width == 2 else "<u4").tobytes()
-        part, row, before = TaskContext.get().partitionId(), 0, {}
         for whole in batches:
             for batch in sliced(whole, "text"):
                 ids = [encode(t) + end if t else end for t in batch.column("text").to_pylist()]
-                n = [len(x) // encode.width for x in ids]
-                starts = []
-                for source, k in zip(sources := batch.column("source").to_pylist(), n):
-                    starts.append(before.get(source, 0))
-                    before[source] = starts[-1] + k
-                rows = batch.num_rows
-                yield batch_of(schema, {"part": [part] * rows, "row": range(row, row + rows), "doc_id": batch.column("doc_id"), "source": sources,
-                                        "n": n, "before": starts, "width": [encode.width] * rows, "ids": ids})
-                row += rows
-
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").repartitionByRange("doc_id")
-               .sortWithinPartitions("doc_id", "text", "source"))
-    return ordered.mapInArrow(run, TOKENS)
+                own = batch.column("doc_id").fill_null(LEAST_ID).to_numpy()
+                part = part_of(bounds, own, np.fromiter(map(zlib.crc32, ids), np.int64, len(ids)))
+                yield batch_of(schema, {"part": part, "doc_id": batch.column("doc_id"), "source": batch.column("source"),
+                                        "n": [len(x) // encode.width for x in ids], "width": [encode.width] * len(ids), "ids": ids})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, ENCODED)
+    return rows.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids", "source")
+
+
+TOKENS = "part int, row long, doc_id long, source string, n long, before long, width int, ids binary"
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, added: bool = False) -> DataFrame:
+    """``encoded`` rows with their number in the part and the ids of earlier documents of the same source in it."""
+    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()),
+                        ("before", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, before = 0, {}
+        for batch in batches:
+            starts = []
+            for source, k in zip(batch.column("source").to_pylist(), batch.column("n").to_pylist()):
+                starts.append(before.get(source, 0))
+                before[source] = starts[-1] + k
+            own = {c: batch.column(c) for c in ("part", "doc_id", "source", "n", "width", "ids")}
+            yield batch_of(schema, own | {"row": range(row, row + batch.num_rows), "before": starts})
+            row += batch.num_rows
+
+    return encoded(docs, tokenizer, end_id, added).mapInArrow(run, TOKENS)
 
 
 def wide(ids: bytes, width: int) -> np.ndarray:
