@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from opsloom.llm.common import batch_of, sliced
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Bytes of pieces and ids that a worker keeps; it starts anew beyond them. Longer pieces are not kept.
-CACHED, PIECE, ENTRY = 64 << 20, 64, 200
+#: Bytes of pieces and ids that a worker keeps; beyond half of them those not asked for since the last time go. Pieces
+#: of over PIECE characters are not kept; an entry takes ENTRY bytes besides its text.
+CACHED, PIECE, ENTRY = 192 << 20, 64, 200
 #: Sampled ids for each part of the id ranges.
 PER_PART = 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -28,21 +29,30 @@ _EDGE = r"\n -&(-@\[-`{-~"
 #: A word that every pre-tokenizer of this kind cuts out whole: letters up to a plain ASCII sign, with the blank before
 #: it. The apostrophe is no such sign (contractions), and a run of white space before it belongs to the other pieces.
 _CUT = re.compile(rf"((?: |(?<![^{_EDGE}])(?<!\s\s))[{_LETTERS}]+(?=[{_EDGE}]|\Z))")
-_PLAIN = re.compile(r" ?[A-Za-z]+\Z")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")
 _loaded: dict[tuple, Callable] = {}
 
 
+def _shown() -> dict[int, str]:
+    """Blank and Latin letters as byte-level vocabularies show their UTF-8 bytes: printable ones as themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in (32, *range(192, 256))}
+
+
 def _model_words(tokenizer, spec: dict):
-    """For plain ASCII words: the model alone, with the normalizer's and pre-tokenizer's known effect; None if unlike the whole."""
+    """For words of Latin letters: the model alone, with the normalizer's and pre-tokenizer's known effect; None if unlike the whole."""
+    shown = _shown()
     fold = "Lowercase" in json.dumps(spec.get("normalizer"))
     model = tokenizer.model
 
     def direct(word: str) -> list[int]:
         if fold:
             word = word.strip().lower()
-        return [t.id for t in model.tokenize(word.replace(" ", "Ġ"))]
+        return [t.id for t in model.tokenize(word.translate(shown))]
 
-    probes = ["the", " the", "The", " ThE", "zq", " zq", "a", " I", "Ntt", " internationalization", "don", " ll", "EWRe"]
+    probes = ["the", " the", "The", " ThE", "zq", " zq", "a", " I", "Ntt", " internationalization", "don", " ll", "EWRe", "É", " été", "Öl", " ÑANDÚ", "straße", " ÿþ"]
     return direct if all(direct(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in probes) else None
 
 
@@ -70,28 +80,30 @@ def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
     cuttable = not any(t[k] for t in tokens for k in ("normalized", "lstrip", "rstrip", "single_word"))
 
     class Pieces(dict):
-        held = 0
+        held, before = 0, {}
 
         def __missing__(self, piece: str) -> bytes:
-            ids = direct(piece) if direct and _PLAIN.match(piece) else tokenizer.encode(piece, add_special_tokens=False).ids
-            out = array.array(kind, ids).tobytes()
-            if len(piece) <= PIECE:
-                self[piece] = out
-                self.held += ENTRY + len(piece) + len(out)
+            out = self.before.get(piece)
+            if out is None:
+                ids = direct(piece) if direct and _PLAIN.match(piece) else tokenizer.encode(piece, add_special_tokens=False).ids
+                out = array.array(kind, ids).tobytes()
+                if len(piece) > PIECE:
+                    return out
+            if self.held > CACHED // 2:
+                self.before, self.held = dict(self), 0
+                self.clear()
+            self[piece] = out
+            self.held += ENTRY + len(piece) + len(out)
             return out
 
-    pieces = Pieces({"": b""})
-    find, split = pieces.__getitem__, _CUT.split
+    find, split = Pieces().__getitem__, _CUT.split
 
     def encode(text: str) -> bytes:
-        if pieces.held > CACHED:
-            pieces.clear()
-            pieces[""], pieces.held = b"", 0
         if not cuttable:
             return array.array(kind, tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if apart and len(parts := apart(text)) > 1:
-            return b"".join(own[p] if i % 2 else b"".join(map(find, split(p))) for i, p in enumerate(parts))
-        return b"".join(map(find, split(text)))
+        if apart and any(t in text for t in own):
+            return b"".join(own[p] if i % 2 else b"".join(map(find, filter(None, split(p)))) for i, p in enumerate(apart(text)))
+        return b"".join(map(find, filter(None, split(text))))
 
     encode.width = 2 if kind == "H" else 4
     return encode
