@@ -21,7 +21,7 @@ from opsloom.llm.common import batch_of, sliced
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Bytes of pieces and ids that a worker keeps; beyond half of them those not asked for since the last time go. Pieces
 #: of over PIECE characters are not kept; an entry takes ENTRY bytes besides its text.
-CACHED, PIECE, ENTRY = 192 << 20, 64, 200
+CACHED, PIECE, ENTRY = 96 << 20, 64, 200
 #: Sampled ids for each part of the id ranges.
 PER_PART = 64
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
