@@ -216,10 +216,24 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
     return docs.mapInArrow(run, added)
 
 
+#: Words of a span that is sure of its language; a text of fewer words is one span.
+SURE = 3
+
+
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Documents with a language: some letters, and one language on at least ``least`` of them."""
-    kept = label(docs, fit(docs)).where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least))
-    return kept.select(*docs.columns)
+    """Documents in languages: some letters, and at least ``least`` of the words in spans of SURE words or more.
+
+    The languages may be as many as they like. Where no document is labelled,
+    nothing can be learned, and all texts with letters are kept. Columns come
+    back as they were, whatever their names are.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = label(docs.select(F.struct("*").alias("row"), "text"), model)
+    words = F.aggregate("_lang_spans", F.lit(0), lambda n, s: n + s["words"])
+    sure = F.aggregate("_lang_spans", F.lit(0), lambda n, s: n + F.when(s["words"] >= F.least(F.lit(SURE), words), s["words"]).otherwise(0))
+    return told.where((F.col("_lang_pred") != "und") & (sure >= least * words)).select("row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

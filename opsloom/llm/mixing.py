@@ -141,11 +141,11 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Documents without words are taken as often as the draw says; their size counts nothing.
     """
-    plan = mix(docs, seed).select("doc_id", "source", "digest", F.col("times").cast("int").alias("_times"))
-    keyed = docs.withColumn("_digest", F.xxhash64("text"))
-    same = [keyed["doc_id"].eqNullSafe(plan["doc_id"]), keyed["source"].eqNullSafe(plan["source"]), keyed["_digest"] == plan["digest"]]
-    taken = keyed.join(plan.where("_times > 0"), same).select(keyed["*"], "_times")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = mix(docs, seed).select("doc_id", "source", "digest", F.col("times").cast("int").alias("times"))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("digest"))
+    same = [keyed["doc_id"].eqNullSafe(plan["doc_id"]), keyed["source"].eqNullSafe(plan["source"]), keyed["digest"] == plan["digest"]]
+    taken = keyed.join(plan.where("times > 0"), same).select("row", "times")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

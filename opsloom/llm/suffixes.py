@@ -519,8 +519,10 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_cuts(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, and _cuts, null where nothing goes."""
-    return _joined(_identified(docs), cuts(docs), "left").select(*docs.columns, F.col("cuts").alias("_cuts"))
+    """row, a struct of all columns of ``docs``, and cuts, null where nothing goes."""
+    slim = docs.select("doc_id", "text")
+    rows = _identified(docs.select("doc_id", "text", F.struct("*").alias("row"))).select("row", "_doc", "_tag")
+    return _joined(rows, cuts(slim), "left").select("row", "cuts")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -535,17 +537,17 @@ def removals(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "text"):
-                spans = [_spans(c) for c in batch.column("_cuts").to_pylist()]
+                spans = [_spans(c) for c in batch.column("cuts").to_pylist()]
                 data = batch.column("text").cast(pa.binary()).to_pylist()
                 yield batch_of(schema, {"doc_id": batch.column("doc_id"), "n_bytes": [len(d) for d in data], "n_removed": [sum(b - a for a, b in s) for s in spans],
                                         "n_spans": [len(s) for s in spans], "kept_sha256": [hashlib.sha256(_kept(d, s)).hexdigest() for d, s in zip(data, spans)]})
 
-    marked = with_cuts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    whole = marked.where(F.col("_cuts").isNull()).select(
+    marked = with_cuts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).select("row.*", "cuts")
+    whole = marked.where(F.col("cuts").isNull()).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return marked.where(F.col("_cuts").isNotNull()).mapInArrow(run, ddl).unionByName(whole)
+    return marked.where(F.col("cuts").isNotNull()).mapInArrow(run, ddl).unionByName(whole)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -559,7 +561,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "text"):
-                cut = batch.column("_cuts").to_pylist()
+                cut = batch.column(batch.num_columns - 1).to_pylist()
                 text = [_kept(d, _spans(c)).decode("utf-8", "ignore") for d, c in zip(batch.column("text").cast(pa.binary()).to_pylist(), cut)]
                 columns = batch.columns[:-1]
                 columns[at] = pa.array(text, batch.schema.field("text").type)
@@ -567,11 +569,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 yield out.filter(pa.array([t != "" for t in text], pa.bool_()))
 
     marked = with_cuts(docs)
-    changed = marked.where(F.col("_cuts").isNotNull()).mapInArrow(run, docs.schema)
+    last = "_cuts"
+    while last in docs.columns:
+        last += "_"
+    changed = marked.where(F.col("cuts").isNotNull()).select("row.*", F.col("cuts").alias(last)).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.char_length("text").cast(kind)).select(*docs.columns)
-    return changed.unionByName(marked.where(F.col("_cuts").isNull()).drop("_cuts"))
+    return changed.unionByName(marked.where(F.col("cuts").isNull()).select("row.*"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,36 @@ def test_stages_of_awkward_and_empty_tables(spark):
         assert (out.count() > 0) == bool(rows)
 
 
+#: Names that the stages use inside.
+INSIDE = ("id digest node n keys key row doc tag cuts _doc _tag _cuts _cuts_ at own other set a b x y i j h c p q root who times size source_size target ratio "
+          "copies chance u load g groups _times _copy _digest _lang_pred _lang_score _lang_spans part ids width before rows words text_ _row").split()
+
+
+def test_stages_keep_any_column(spark):
+    """Every extra column, whatever its name, comes back as it was."""
+    from pyspark.sql import functions as F
+
+    words = [" ".join("".join(np.random.default_rng(100 * i + k).choice(list("abcdefgh"), 6)) for k in range(50)) for i in range(12)]
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(words)] + [(20, words[3], "en", "a"), (21, words[4] + " " + words[5], "en", "b")]
+    d = docs(spark, rows).drop("n", "size").withColumns({c: F.concat(F.lit(c + "-"), "doc_id") for c in INSIDE if c != "id"}).withColumn("id", F.lit("mine"))
+    out = d
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, "")
+        assert out.columns == d.columns, name
+        got = out.collect()
+        assert got and all(r["id"] == "mine" and all(r[c] == f"{c}-{r['doc_id']}" for c in INSIDE if c != "id") for r in got), name
+
+
+def test_language_stage_keeps_clean_texts(spark):
+    """Without labels all texts with letters stay; with labels one in three languages does."""
+    texts = ["the cat sat on the mat and looked at the dog in the house", "der Hund lief über die Straße und blieb dann vor dem Haus stehen",
+             "le chat est sur la table et il regarde dans la maison de la rue"]
+    bare = [(i, texts[i % 3] + f" {i}", None, "a") for i in range(60)] + [(100, "12 34", None, "a"), (101, None, None, "a")]
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs(spark, bare), "").collect()} == set(range(60))
+    known = [(i, texts[i % 3], ("en", "de", "fr")[i % 3], "a") for i in range(60)] + [(70, " ".join(texts), "en", "a"), (71, "...", "en", "a")]
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs(spark, known), "").collect()} == set(range(60)) | {70}
+
+
 def test_pipeline_query(spark, small):
     rows = entry.queries()["pipeline"](spark, small).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
