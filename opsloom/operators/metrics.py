@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opsloom import rules as R
 from opsloom.operators import series as T
+from opsloom.operators.quantiles import exact_quantile
 
 HOUR = 3600
 
@@ -119,18 +120,23 @@ def held(states: DataFrame, keys: list[str], seconds: int, ts: str = "ts") -> Da
 
 
 def sliding_monitor(samples: DataFrame, size: str, slide: str, value: str = "value", failed: Column | None = None,
-                    ts: str = "ts") -> DataFrame:
-    """Per sliding window: rows, error ratio, mean and exact 95th percentile.
+                    ts: str = "ts", quantile: float | None = 0.95) -> DataFrame:
+    """Per sliding window: rows, error ratio, mean and exact 95th percentile (``p95``; left out where ``quantile`` is None).
 
-    Values are counted first, so a window holds distinct values only.
+    ``size`` is a multiple of ``slide``. Values are counted per pane of
+    ``slide`` first, so that a sample is read once and not once per window;
+    the percentile's rank is found by counts, and no window is gathered.
     """
-    win = F.window(F.col(ts), size, slide)
     bad = F.sum(F.when(failed if failed is not None else F.lit(False), 1).otherwise(0))
-    counted = samples.groupBy(win.alias("w"), F.col(value).alias("v")).agg(F.count("*").alias("n"), bad.alias("bad"))
-    return counted.groupBy("w").agg(
-        F.sum("n").alias("n"), (F.sum("bad") / F.sum("n")).alias("error_ratio"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("v", 0.95, F.col("n")).alias("p95")
-    ).select(F.col("w.start").alias("start"), "n", "error_ratio", "mean", "p95")
+    panes = samples.groupBy(F.window(F.col(ts), slide).alias("p"), F.col(value).alias("v")).agg(F.count("*").alias("n"), bad.alias("bad"))
+    start = F.window(F.col("p.start"), size, slide)
+    sums = panes.groupBy(F.col("p.start").alias("at")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("v") * F.col("n")).alias("sum"))
+    out = sums.groupBy(F.window("at", size, slide).alias("w")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("sum").alias("sum")).select(
+        F.col("w.start").alias("start"), "n", (F.col("bad") / F.col("n")).alias("error_ratio"), (F.col("sum") / F.col("n")).alias("mean"))
+    if quantile is None:
+        return out
+    counted = panes.groupBy(start.alias("w"), "v").agg(F.sum("n").alias("n")).select(F.col("w.start").alias("start"), "v", "n")
+    return out.join(exact_quantile(counted, ["start"], quantile), "start", "left").withColumnRenamed("quantile", "p95")
 
 
 def volume_anomalies(daily: DataFrame, day: str = "day", volume: str = "volume") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsloom import rules as R
 from opsloom.functions.text import any_of
+from opsloom.operators.quantiles import exact_quantile
 from opsloom.operators.search import best_per
 from opsloom.operators.series import running_sum
 
@@ -163,10 +164,12 @@ def benchmark_summary(runs: DataFrame, keys: list[str], seconds: str, ok: Column
     """Success share, mean, exact p95 and throughput per key."""
     counted = runs.groupBy(*keys, F.col(seconds).alias("v")).agg(
         F.count("*").alias("n"), F.sum(F.when(ok, 1).otherwise(0)).alias("good"))
-    return counted.groupBy(*keys).agg(
+    sums = counted.groupBy(*keys).agg(
         F.sum("n").alias("runs"), (F.sum("good") / F.sum("n")).alias("success"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("v", 0.95, F.col("n")).alias("p95"),
-        (F.sum("n") / F.sum(F.col("v") * F.col("n"))).alias("per_second"))
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum("n") / F.sum(F.col("v") * F.col("n"))).alias("per_second"))
+    p95 = exact_quantile(counted, keys, 0.95).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("quantile").alias("p95"))
+    same = [sums[k].eqNullSafe(p95[f"_{k}"]) for k in keys]
+    return sums.join(p95, same, "left").select(*keys, "runs", "success", "mean", "p95", "per_second")
 
 
 def retrain_decision(measures: DataFrame, keys: list[str]) -> DataFrame:

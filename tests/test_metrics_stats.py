@@ -59,3 +59,20 @@ def test_task_progress_hand_case(spark):
                                "task_id int, stage string, status string, progress double, ts int, created_at timestamp")
     row = ST.task_progress(df, F.lit(T0 + timedelta(seconds=50))).first()
     assert abs(row.progress - 0.5) < 1e-9 and abs(row.remaining_seconds - 50) < 1e-6
+
+
+def test_exact_quantile_narrows_to_the_rank(spark):
+    """Groups of distinct, repeated, skewed, equal and single values against the sorted list, whole and in small rounds."""
+    import numpy as np
+
+    from opsloom.operators.quantiles import exact_quantile
+    rng = np.random.default_rng(3)
+    groups = {"distinct": rng.normal(size=3000), "skewed": np.exp(rng.normal(size=2000) * 8), "repeated": rng.integers(0, 9, 1500).astype(float),
+              "equal": np.full(50, 7.0), "one": np.array([3.5]), "two": np.array([-1.0, 2.0]), None: rng.normal(size=11)}
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("equal", None), ("void", None), ("one", float("nan"))], "g string, v double")
+    counted = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
+    for q, cells, most in ((0.95, 1024, 50_000), (0.95, 8, 5), (0.5, 16, 1), (0.0, 4, 3), (1.0, 4, 3)):
+        got = {r["g"]: r["quantile"] for r in exact_quantile(counted, ["g"], q, cells, most).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert abs(got[g] - np.quantile(xs, q)) <= 1e-12 * max(1, abs(got[g]))
