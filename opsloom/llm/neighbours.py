@@ -18,19 +18,22 @@ SAMPLE = 8192
 PARTS = 16
 #: Neighbours per vertex of the sample's graph.
 DEGREE = 10
-#: Share of true neighbours that the probes must reach on held-back sample vectors.
+#: Share of true neighbours that the probes must reach on held-back sample vectors, and masses that are tried for it.
 RECALL = 0.97
+MASSES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 1.1)
+#: Shares of the sample's rows that are shorter than the layers above the first.
+LAYERS = (0.8, 0.97)
 FOUND = "query_id long, vec_id long, score double"
 
 
-def neighbour_graph(x: np.ndarray, degree: int, rows: int | None = None) -> np.ndarray:
-    """The ``degree`` largest inner products of the first ``rows`` rows, themselves left out."""
-    rows = len(x) if rows is None else min(rows, len(x))
-    out = np.empty((rows, degree), np.int64)
-    for a in range(0, rows, 512):
-        s = x[a:min(a + 512, rows)] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a:a + len(s)] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+def best_rows(queries: np.ndarray, rows: np.ndarray, k: int, own: bool) -> np.ndarray:
+    """Places of the k largest inner products of each query; ``own``: the queries are the rows, and not their own neighbours."""
+    out = np.empty((len(queries), k), np.int64)
+    for a in range(0, len(queries), 512):
+        s = queries[a:a + 512] @ rows.T
+        if own:
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        out[a:a + len(s)] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -76,24 +79,51 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 3
     return part
 
 
+def _chances(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Softmax regression on the direction of each row."""
+    z = np.hstack([_unit(x), np.ones((len(x), 1))]) @ weights
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _length(x: np.ndarray) -> np.ndarray:
+    most = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-300)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
 @dataclass
 class Router:
-    """Softmax regression from a vector to its part, and the probability mass that a query's probes must reach."""
-    weights: np.ndarray
+    """Layers of rows by length, the parts of each layer, and the probability mass that a query's probes must reach.
+
+    ``edges`` are the least lengths of the layers above the first. ``homes``
+    has a softmax regression from a row's direction to its part per layer,
+    ``asks`` one from a query's direction to the parts of all layers.
+    """
+    edges: np.ndarray
+    homes: list[np.ndarray]
+    asks: np.ndarray
     mass: float
 
-    def chances(self, x: np.ndarray) -> np.ndarray:
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        z = np.hstack([unit, np.ones((len(x), 1))]) @ self.weights
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+    @property
+    def parts(self) -> int:
+        return sum(w.shape[1] for w in self.homes)
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        return self.chances(x).argmax(axis=1)
+        layer, out, first = np.searchsorted(self.edges, _length(x), "right"), np.zeros(len(x), np.int64), 0
+        for k, weights in enumerate(self.homes):
+            own = layer == k
+            out[own] = first + _chances(x[own], weights).argmax(axis=1)
+            first += weights.shape[1]
+        return out
 
     def probes(self, x: np.ndarray, mass: float | None = None) -> np.ndarray:
         """Query by part: the most probable parts up to the mass."""
-        p = self.chances(x)
+        p = _chances(x, self.asks)
         order = np.argsort(-p, axis=1, kind="stable")
         before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
         out = np.zeros(p.shape, bool)
@@ -101,53 +131,73 @@ class Router:
         return out
 
 
-def learn(x: np.ndarray, parts: int = PARTS, degree: int = DEGREE, recall: float = RECALL, k: int = 20, steps: int = 300) -> Router:
-    """Graph of the sample, its balanced partition, the classifier, and the mass that reaches ``recall``."""
-    scale = np.abs(x).max(axis=1, keepdims=True, initial=0)
-    unit = np.unique(x / np.maximum(scale, 1e-300) / np.maximum(np.linalg.norm(x / np.maximum(scale, 1e-300), axis=1, keepdims=True), 1e-300), axis=0)
-    parts = max(1, min(parts, len(unit) // (4 * degree)))
-    if parts == 1:
-        return Router(np.zeros((x.shape[1] + 1, 1)), 1.0)
-    rng = np.random.default_rng(5)
-    unit = unit[rng.permutation(len(unit))]
-    graph = neighbour_graph(unit, degree)
-    part = balanced_parts(unit, graph, parts)
-    wanted = 0.5 * np.eye(parts)[part] + 0.5 * np.eye(parts)[part[graph]].mean(axis=1)
-    a = np.hstack([unit, np.ones((len(unit), 1))])
-    router = Router(np.zeros((a.shape[1], parts)), 1.0)
-    m = v = np.zeros_like(router.weights)
-    for t in range(1, steps + 1):  # Adam
-        g = a.T @ (router.chances(unit) - wanted) / len(a) + 1e-5 * router.weights
+def _regression(x: np.ndarray, wanted: np.ndarray, steps: int) -> np.ndarray:
+    """Softmax regression of row shares on directions, by Adam."""
+    a = np.hstack([_unit(x), np.ones((len(x), 1))])
+    weights = np.zeros((a.shape[1], wanted.shape[1]))
+    m = v = np.zeros_like(weights)
+    for t in range(1, steps + 1):
+        g = a.T @ (_chances(x, weights) - wanted) / len(a) + 1e-5 * weights
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        router.weights = router.weights - 0.3 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
-    home = router.home(unit)
-    tried = unit[:512]
-    truth = neighbour_graph(unit, min(k, len(unit) - 1), len(tried))
-    masses = [0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995]
-    for mass in masses:
-        reached = np.take_along_axis(router.probes(tried, mass), home[truth], axis=1).mean()
-        if reached >= recall:
+        weights = weights - 0.3 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
+    return weights
+
+
+def learn(x: np.ndarray, parts: int = PARTS, degree: int = DEGREE, recall: float = RECALL, k: int = 20, steps: int = 300) -> Router:
+    """Layers, partitions and router of a sample, and the mass that reaches ``recall`` for rows held back from all of it.
+
+    Long rows have large products with any query that leans their way, so that
+    rows are told apart by length first: the longest 3 %, the next 17 %, the
+    rest (a layer that is hardly longer than the rest joins it). Each layer's
+    neighbour graph is cut into balanced parts, and a classifier learns them.
+    The query's classifier learns where the rows of largest product with the
+    sample's rows lie; the mass is tuned with the products of original vectors.
+    """
+    x = np.unique(x / max(np.abs(x).max(initial=0), 1e-300), axis=0)
+    x = x[np.random.default_rng(5).permutation(len(x))]
+    one = Router(np.zeros(0), [np.zeros((x.shape[1] + 1, 1))], np.zeros((x.shape[1] + 1, 1)), 1.0)
+    held, x = x[:min(512, len(x) // 8)], x[min(512, len(x) // 8):]
+    k = min(k, len(x) - 1)
+    if not len(held) or len(x) // (4 * degree) < 2:
+        return one
+    length = _length(x)
+    edges = np.array([e for e in np.quantile(length, LAYERS) if e > 1.05 * np.median(length)])
+    layer, homes = np.searchsorted(edges, length, "right"), []
+    for n in range(len(edges) + 1):
+        own = _unit(x[layer == n])
+        count = max(1, min(parts, len(own) // (4 * degree)))
+        graph = best_rows(own, own, min(degree, len(own) - 1), True) if count > 1 else None
+        part = balanced_parts(own, graph, count) if count > 1 else np.zeros(len(own), np.int64)
+        wanted = np.eye(count)[part] if count == 1 else 0.5 * np.eye(count)[part] + 0.5 * np.eye(count)[part[graph]].mean(axis=1)
+        homes.append(_regression(own, wanted, steps if count > 1 else 0))
+    router = Router(edges, homes, np.zeros((x.shape[1] + 1, sum(w.shape[1] for w in homes))), 1.0)
+    home = router.home(x)
+    router.asks = _regression(x, np.eye(router.parts)[home[best_rows(x, x, k, True)]].mean(axis=1), steps)
+    truth = home[best_rows(held, x, k, False)]
+    for router.mass in MASSES:
+        if np.take_along_axis(router.probes(held), truth, axis=1).mean() >= recall:
             break
-    else:
-        mass = 1.1
-    router.mass = mass
-    return router
+    return Router(edges * 1.0, homes, router.asks, router.mass)
 
 
 def fitted(rows: DataFrame, dim: int, sample: int = SAMPLE) -> Router:
     n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))) + 1)
+    drawn = rows.where(F.abs(F.xxhash64("vec_id", F.lit(1)) / F.lit(float(1 << 63))) < sample / max(1, n))
     got = drawn.select("v").limit(2 * sample).toArrow()
-    return learn(matrix(got.column("v"), dim)) if got.num_rows else Router(np.zeros((dim + 1, 1)), 1.0)
+    x = matrix(got.column("v"), dim) if got.num_rows else np.zeros((0, dim))
+    router = learn(x)
+    router.edges = router.edges * max(np.abs(x).max(initial=0), 1e-300)  # the sample was scaled by its largest component
+    return router
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, router: Router | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: nearest vectors by inner product in double precision.
 
     The partition and its classifier are learned from SAMPLE vectors at most;
-    every row is indexed, in its most probable part. A query goes to its most
-    probable parts, up to the mass that reached RECALL on held-back sample
-    vectors, and is scored exactly against all of them.
+    every row is indexed, in the most probable part of its layer of lengths. A
+    query goes to its most probable parts, up to the mass that reached RECALL
+    for vectors held back from the graph and the classifiers, and is scored
+    exactly against all of them.
 
     Rows without id, null or zero vectors and those with null or non-finite
     components take no part. Rows that bear the query's id are its own;
@@ -157,7 +207,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, router: Router
     rows = usable(embeddings, zero=False)
     dim = width(rows)
     router = router or fitted(rows, dim)
-    parts = router.weights.shape[1]
+    parts = router.parts
     schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("part", pa.int32())])
 
     def routed(probing: bool):

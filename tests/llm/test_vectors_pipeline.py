@@ -90,6 +90,22 @@ def test_op1_recall(spark):
     assert hit / (20 * len(got)) >= 0.9 and len(got) == (ids % 20 == 0).sum()
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.6, 1.0])
+def test_recall_at_any_lengths(spread):
+    """Queries that were not learned from, against all rows, by products of the original vectors; few rows are read."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 12000)] + 0.6 * rng.normal(size=(12000, 32))
+    x *= np.exp(spread * rng.normal(size=(12000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    router = neighbours.learn(x[300:8300])
+    router.edges = router.edges * np.abs(x[300:8300]).max()
+    home, probes, s = router.home(x), router.probes(x[:300]), x[:300] @ x.T
+    s[np.arange(300), np.arange(300)] = -np.inf
+    truth = home[np.argpartition(-s, 20, axis=1)[:, :20]]
+    assert np.take_along_axis(probes, truth, axis=1).mean() >= 0.9
+    assert (probes @ np.bincount(home, minlength=router.parts)).mean() < 0.2 * len(x)
+
+
 def test_neighbours_of_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(vectors, "VECTORS", 100)
     monkeypatch.setattr(vectors, "QUERIES", 8)
@@ -106,7 +122,7 @@ def test_neighbours_of_awkward_rows(spark, monkeypatch):
 def test_balanced_parts():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 8))
-    graph = neighbours.neighbour_graph(x, 6)
+    graph = neighbours.best_rows(x, x, 6, True)
     part = neighbours.balanced_parts(x, graph, 7)
     assert np.bincount(part, minlength=7).max() <= np.ceil(1.1 * 900 / 7) + 1
     halves = rng.integers(0, 7, 900)
