@@ -11,6 +11,7 @@ from opsloom.plans.logs import DERIVED_SQL, as_of
 from opsloom.plans.stats import PROGRESS_SQL
 from opsloom.session import shared_dir
 from opsloom.streaming import jobs as J
+from opsloom.streaming import search_ingest as SI
 
 c = F.col
 
@@ -68,7 +69,27 @@ def task_progress(spark, d):
     return out.select("task_id", F.round("progress", 6).alias("progress"))
 
 
+def search_tables(spark, d):
+    """Both search tables after ingest: rows, rows far off their service's past, and the sum of the scores, per service."""
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    SI.ingest_search(_line_stream(spark, d).select("raw_line", "line_number", "log_file"), base, as_of()).awaitTermination()
+    full, vectors = (SI.read_committed(spark, base, n) for n in ("fulltext_doc", "embedding_doc"))
+    parts = [full.withColumn("table_name", F.lit("fulltext_doc")), vectors.where(F.size("vector") == 384).withColumn("table_name", F.lit("embedding_doc"))]
+    rows = [p.select("table_name", "service_name", "anomaly_score") for p in parts]
+    return rows[0].unionByName(rows[1]).groupBy("table_name", "service_name").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.abs("anomaly_score") > 1.5, 1).otherwise(0)).alias("outliers"), F.round(F.sum("anomaly_score"), 3).alias("scores"))
+
+
+SEARCH_TABLES_SQL = f"""with {DERIVED_SQL}, o as (select *, count(*) over w as n, sum(severity_score) over w as s, sum(severity_score * severity_score) over w as q
+  from derived where layout <> 'fallback' window w as (partition by service_name order by ts_text, line_number rows between unbounded preceding and 1 preceding)),
+z as (select *, s / n as m, sqrt(greatest(q / n - (s / n) * (s / n), 0.0)) as sd from o),
+a as (select service_name, case when n < 2 or sd < 1e-6 then 0.0::double else (severity_score - m) / sd end as score from z)
+select table_name, service_name, count(*) as n, cast(sum((abs(score) > 1.5)::int) as bigint) as outliers, round(sum(score), 3) as scores
+from a cross join (values ('fulltext_doc'), ('embedding_doc')) t(table_name) group by 1, 2"""
+
+
 QUERIES = {
+    "stream_search_tables": (search_tables, SEARCH_TABLES_SQL),
     "stream_service_windows": (service_windows, f"""with {DERIVED_SQL} select substr(ts_text, 1, 10) as day, service_name,
       count(*) as total, cast(sum((log_level = 'ERROR')::int) as bigint) as errors, cast(sum((log_level = 'WARN')::int) as bigint)
       as warnings, round(avg(severity_score), 6) as mean_severity from derived group by 1, 2"""),

@@ -7,6 +7,7 @@ write one folder per batch id, so a repeated batch replaces itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,20 @@ def _start_tables(df: DataFrame, base: str, names: list[str]) -> None:
         empty.write.mode("overwrite").parquet(f"{base}/{name}/batch_id=-1")
 
 
+def _newest_before(spark: SparkSession, base: str, batch_id: int) -> datetime | None:
+    """Newest time of all batches before; each batch keeps the running one, so that one small file is read."""
+    if batch_id == 0:
+        return None
+    return spark.read.schema("newest timestamp").parquet(f"{base}/newest/batch_id={batch_id - 1}").first()[0]
+
+
+def _keep_newest(rows: DataFrame, ts: str, base: str, batch_id: int, before: datetime | None) -> datetime | None:
+    own = rows.agg(F.max(F.col(ts).cast("timestamp"))).first()[0]
+    newest = max((t for t in (own, before) if t is not None), default=None)
+    rows.sparkSession.createDataFrame([(newest,)], "newest timestamp").write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+    return newest
+
+
 def write_window_parts(entries: DataFrame, base: str, size: str = "1 minute", late_after: str = "10 minutes") -> StreamingQuery:
     """Sums per service and window of each batch to ``rows``; those of late entries to ``late``.
 
@@ -101,9 +116,7 @@ def write_window_parts(entries: DataFrame, base: str, size: str = "1 minute", la
         spark = batch.sparkSession
         kept = batch.persist()
         try:
-            kept.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
-            seen = spark.read.option("basePath", f"{base}/newest").parquet(f"{base}/newest/batch_id=*")
-            newest = seen.filter(F.col("batch_id") <= batch_id).agg(F.max("newest")).first()[0]
+            newest = _keep_newest(kept, "timestamp", base, batch_id, _newest_before(spark, base, batch_id))
             late = F.coalesce(F.col("timestamp") < F.lit(newest) - F.expr(f"interval {late_after}"), F.lit(False))
             parts(kept.filter(~late)).write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
             parts(kept.filter(late)).write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
@@ -130,17 +143,14 @@ def write_with_late(df: DataFrame, base: str, ts: str = "timestamp", delay_secon
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = None
-        if batch_id > 0:
-            seen = spark.read.option("basePath", f"{base}/newest").parquet(f"{base}/newest/batch_id=*")
-            newest = seen.filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        newest = _newest_before(spark, base, batch_id)
         edge = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds))
         late = F.lit(False) if newest is None else F.coalesce(F.col(ts) < edge, F.lit(False))
         kept = batch.persist()
         try:
             kept.filter(~late).write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
             kept.filter(late).write.mode("overwrite").parquet(f"{base}/late/batch_id={batch_id}")
-            kept.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/batch_id={batch_id}")
+            _keep_newest(kept, ts, base, batch_id, newest)
         finally:
             kept.unpersist()
 

@@ -144,3 +144,39 @@ def test_stream_without_rows(spark, tmp_path):
     stream = spark.readStream.schema("content string, timestamp timestamp").parquet(str(tmp_path / "in"))
     J.write_batches(J.first_texts(stream), str(tmp_path / "out")).awaitTermination()
     assert J.read_batches(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_search_ingest_does_not_depend_on_the_batches(spark, tmp_path):
+    """Totals and scores for 1, 3 and 10 batches and after a repeated batch; an unpublished batch is not seen."""
+    import numpy as np
+
+    from opsloom.streaming import search_ingest as SI
+    rng = np.random.default_rng(2)
+    lines = [f"2025-08-20T14:{i // 60:02d}:{i % 60:02d}.123Z [{rng.choice(['ERROR', 'WARN', 'INFO'])}] service-{'ab'[i % 2]}: {rng.choice(['timeout', 'ok', 'disk full'])} {i}" for i in range(120)]
+    past, want = {}, []
+    rows = [("junk", 999)] + [(x, i) for i, x in enumerate(lines)]
+    seen = {}
+    for parts in (1, 3, 10):
+        src, out = str(tmp_path / f"in{parts}"), str(tmp_path / f"out{parts}")
+        for k in range(parts):
+            spark.createDataFrame(rows[k * len(rows) // parts:(k + 1) * len(rows) // parts], "raw_line string, line_number int").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("raw_line string, line_number int").option("maxFilesPerTrigger", 1).parquet(src).withColumn("log_file", F.lit("a.log"))
+        SI.ingest_search(stream, out, as_of()).awaitTermination()
+        table = SI.read_committed(spark, out, "fulltext_doc")
+        assert table.select("batch_id").distinct().count() == parts
+        seen[parts] = sorted((r["line_number"], r["service_name"], round(r["severity_score"], 6), round(r["anomaly_score"], 6)) for r in table.collect())
+        assert SI.read_committed(spark, out, "embedding_doc").where("size(vector) = 384").count() == 120
+        assert SI.read_committed(spark, out, "rejected").count() == 1
+    for n, service, x, _ in seen[1]:
+        own = past.setdefault(service, [])
+        sd = np.std(own) if len(own) > 1 else 0
+        want.append((n, service, x, round((x - np.mean(own)) / sd, 6) if sd > 1e-6 else 0.0))
+        own.append(x)
+    assert [r[:3] for r in seen[1]] == [r[:3] for r in want] and np.allclose([r[3] for r in seen[1]], [r[3] for r in want], atol=1e-5)
+    for parts in (3, 10):
+        assert [r[:3] for r in seen[parts]] == [r[:3] for r in want] and np.allclose([r[3] for r in seen[parts]], [r[3] for r in want], atol=1e-5)
+    state = SI.next_state(spark.createDataFrame([("old", 3, 1.0, 1.0, datetime(2020, 1, 1))], SI.STATE),
+                          spark.createDataFrame([("new", 0.5, datetime(2024, 1, 1))], "service_name string, severity_score double, timestamp timestamp"), 24)
+    assert [r["service_name"] for r in state.collect()] == ["new"]
+    spark.read.parquet(f"{out}/fulltext_doc/batch_id=0").write.parquet(f"{out}/fulltext_doc/batch_id=77")  # written, not published
+    assert SI.read_committed(spark, out, "fulltext_doc").count() == 120
