@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -35,6 +36,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a worker.
+BATCH = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches hold BATCH bytes at most, which keeps long texts from meeting in memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(key) or "0")[0]) > BATCH:
+        conf.set(key, f"{BATCH}b")
+    return df
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's decimal text modulo ``parts``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.llm.common import fold, sliced, table
+from opsloom.llm.common import fold, sliced, small_batches, table
 
 #: Labelled documents that are learned from, at most; drawn by a hash of the id.
 SAMPLE = 20_000
@@ -213,7 +213,7 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
                 arrays = [*batch.columns, pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, span_type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "_lang_pred", "_lang_score", "_lang_spans"])
 
-    return docs.mapInArrow(run, added)
+    return small_batches(docs).mapInArrow(run, added)
 
 
 #: Words of a span that is sure of its language; a text of fewer words is one span.
@@ -230,10 +230,12 @@ def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     model = fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = label(docs.select(F.struct("*").alias("row"), "text"), model)
+    # under names of its own; the text travels once
+    told = label(docs.select(*[F.col(c).alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)]), model)
     words = F.aggregate("_lang_spans", F.lit(0), lambda n, s: n + s["words"])
     sure = F.aggregate("_lang_spans", F.lit(0), lambda n, s: n + F.when(s["words"] >= F.least(F.lit(SURE), words), s["words"]).otherwise(0))
-    return told.where((F.col("_lang_pred") != "und") & (sure >= least * words)).select("row.*")
+    return told.where((F.col("_lang_pred") != "und") & (sure >= least * words)).select(
+        *[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

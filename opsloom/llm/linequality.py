@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsloom.llm.common import fold, sliced, table
+from opsloom.llm.common import fold, sliced, small_batches, table
 
 #: Labelled documents that are learned from, at most, drawn by a hash of the id; ones of more lines are not.
 SAMPLE, LINES = 1000, 128
@@ -278,7 +278,7 @@ def judged(docs: DataFrame, field: Field | None) -> DataFrame:
                 arrays = [*batch.columns, *(pa.array(v, kind) for v, (_, _, kind) in zip(values, ADDED))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *(name for name, _, _ in ADDED)])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op12_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:

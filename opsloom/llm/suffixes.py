@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import batch_of, sliced, stored, table
+from opsloom.llm.common import batch_of, sliced, small_batches, stored, table
 
 #: Bytes of a passage that may not repeat.
 LENGTH = 100
@@ -520,7 +520,7 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def with_cuts(docs: DataFrame) -> DataFrame:
     """row, a struct of all columns of ``docs``, and cuts, null where nothing goes."""
-    slim = docs.select("doc_id", "text")
+    slim = small_batches(docs).select("doc_id", "text")
     rows = _identified(docs.select("doc_id", "text", F.struct("*").alias("row"))).select("row", "_doc", "_tag")
     return _joined(rows, cuts(slim), "left").select("row", "cuts")
 

@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import batch_of, sliced
+from opsloom.llm.common import batch_of, sliced, small_batches
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Bytes of pieces and ids that a worker keeps; beyond half of them those not asked for since the last time go. Pieces
@@ -146,6 +146,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, added: bool = Fals
     text is read for the ranges. Null ids come first. Rows of one id stay
     apart; they lie beside each other, in the order of their ids.
     """
+    small_batches(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = id_bounds(docs, parts)
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm.common import batch_of, sliced, stored, table
+from opsloom.llm.common import batch_of, sliced, small_batches, stored, table
 
 #: Least letters and occurrences of words that take part; runs of that many letters, each taken whole.
 LETTERS, LEAST = 5, 3
@@ -57,7 +57,7 @@ def word_counts(docs: DataFrame, noise: bool = False) -> DataFrame:
                     counts = {}
         yield batch_of(schema, {"word": list(counts), "n": list(counts.values())})
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "word string, n long")
+    parts = small_batches(docs).select("doc_id", "text").mapInArrow(run, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
