@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsloom import schemas
 from opsloom.functions import documents as D
 from opsloom.functions.logs import _utc as parse_utc
-from opsloom.operators.series import running_sum
+from opsloom.operators.search import BROADCAST_ROWS, has_at_most
 
 CORRUPT = "_corrupt_record"
 
@@ -17,14 +17,20 @@ def read_log_lines(spark: SparkSession, path: str, name_filter: str = "*.{log,tx
     """log_file, line_number (from 1), raw_line of every line.
 
     Files are split as usual, a big file over many tasks. The number of a line
-    is its place in its split plus the lines of the splits before it.
+    is its place in its split plus the lines of the splits before it. Splits
+    are counted in a scan of their own; the table of their counts, a row per
+    split, goes to the lines, which are not shuffled while it is small.
     """
     lines = (spark.read.option("lineSep", "\n").option("pathGlobFilter", name_filter).text(path)
              .select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("_path"),
                      F.col("_metadata.file_name").alias("log_file"),
                      F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")))
-    return running_sum(lines, ["_path"], F.col("_start"), [F.col("_at")], F.lit(1), "line_number").select(
-        "log_file", "line_number", "raw_line")
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (lines.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+              .select("_path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    side = F.broadcast(splits) if has_at_most(splits, BROADCAST_ROWS) else splits
+    return lines.join(side, ["_path", "_start"]).select(
+        "log_file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_number"), "raw_line")
 
 
 def read_incident_logs(spark: SparkSession, path: str) -> DataFrame:

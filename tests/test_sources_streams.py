@@ -180,3 +180,22 @@ def test_search_ingest_does_not_depend_on_the_batches(spark, tmp_path):
     assert [r["service_name"] for r in state.collect()] == ["new"]
     spark.read.parquet(f"{out}/fulltext_doc/batch_id=0").write.parquet(f"{out}/fulltext_doc/batch_id=77")  # written, not published
     assert SI.read_committed(spark, out, "fulltext_doc").count() == 120
+
+
+def test_line_numbers_over_many_splits_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "big.log").write_text("".join(f"line {i}\n" for i in range(1, 20_001)))
+    (tmp_path / "small.log").write_text("one\ntwo")
+    (tmp_path / "empty.log").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        df = files.read_log_lines(spark, str(tmp_path))
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert all(r["raw_line"] == f"line {r['line_number']}" for r in rows if r["log_file"] == "big.log") and len(rows) == 20_002
+    assert sorted((r["line_number"], r["raw_line"]) for r in rows if r["log_file"] == "small.log") == [(1, "one"), (2, "two")]
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
