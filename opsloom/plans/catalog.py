@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["logs", "documents", "search", "graph", "entities", "rca", "metrics", "stats", "incidents", "streams", "knowledge"]
+AREAS = ["logs", "documents", "search", "graph", "entities", "rca", "metrics", "stats", "incidents", "streams", "knowledge", "files"]
 
 
 def catalog() -> dict:
