@@ -204,15 +204,16 @@ def fuse_by_content(vector_hits: DataFrame, text_hits: DataFrame, k: int, alpha:
     with one content the last in rank gives the score, the first the row.
     """
     def side(df, name):
-        return df.groupBy("query_id", "content").agg(
+        # texts are grouped and joined by a digest and travel once
+        return df.withColumn("_key", F.md5("content")).groupBy("query_id", "_key").agg(
             F.max_by("score", F.struct("rank", "doc_id")).alias(f"{name}_score"),
-            F.min_by("doc_id", F.struct("rank", "doc_id")).alias(f"{name}_doc"))
+            F.min_by("doc_id", F.struct("rank", "doc_id")).alias(f"{name}_doc"), F.first("content").alias(f"{name}_content"))
 
-    both = side(vector_hits, "vector").join(side(text_hits, "bm25"), ["query_id", "content"], "full_outer")
+    both = side(vector_hits, "vector").join(side(text_hits, "bm25"), ["query_id", "_key"], "full_outer")
     vec = F.least(F.coalesce("vector_score", F.lit(0.0)), F.lit(1.0))
     text = F.least(F.coalesce("bm25_score", F.lit(0.0)) / text_scale, F.lit(1.0))
     scored = both.select(
-        "query_id", F.coalesce("vector_doc", "bm25_doc").alias("doc_id"), "content",
+        "query_id", F.coalesce("vector_doc", "bm25_doc").alias("doc_id"), F.coalesce("vector_content", "bm25_content").alias("content"),
         F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"),
         F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"),
         F.round(vec * alpha + text * (1 - alpha), _DIGITS).alias("hybrid_score"))

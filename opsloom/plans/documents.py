@@ -79,6 +79,16 @@ select doc_id, n + case when done is not null then 1 else 0 end, {_TRIM.format('
   where i = len(s) and open <> ''"""
 
 
+def long_overlap_chunks(spark, d):
+    """The 1000/100 form: a chunk starts with the end of its own first sentence."""
+    docs = B.documents(spark, d).select("doc_id", "content")
+    return D.chunk_rows(docs, D.pack_with_overlap(c("content"), 1000, 100, style="sentence")).select("doc_id", "chunk_index", "chunk")
+
+
+LONG_OVERLAP_SQL = (OVERLAP_SQL.replace("512", "1000").replace("right(open, 50)", "right(s[i + 1], 100)")
+                    .replace(_TRIM.format("done"), "done").replace(_TRIM.format("open"), "open"))
+
+
 # ------------------------------------------------------------------ merge requests and tickets
 def change_rows(spark, d):
     return D.change_documents(B.changes(spark, d).withColumns(
@@ -390,6 +400,7 @@ select category, source_type, count(*) as n,
 QUERIES = {
     "wiki_chunk_rows": (wiki_chunks, WIKI_SQL),
     "overlap_chunks": (overlap_chunks, OVERLAP_SQL),
+    "overlap_chunks_1000": (long_overlap_chunks, LONG_OVERLAP_SQL),
     "merge_request_rows": (change_rows, CHANGE_SQL),
     "ticket_rows": (ticket_rows, TICKET_SQL),
     "flat_loader_rows": (flat_rows, FLAT_SQL),

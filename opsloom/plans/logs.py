@@ -333,7 +333,19 @@ def text_keys(spark, d):
     return B.table(spark, d, "documents").select("doc_id", text_key(F.col("text")).alias("text_md5"))
 
 
+def keyword_filtered(spark, d):
+    """Entries that share a keyword with the asked ones, per service and level."""
+    rows = enriched(spark, d).filter(search_filter(level=["ERROR", "WARN", "INFO"], keywords=R.LOG_KEYWORDS[:3]))
+    return rows.groupBy("service_name", "log_level").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"))
+
+
+_ASKED = "[" + ", ".join(quote(k) for k in R.LOG_KEYWORDS[:3]) + "]"
+KEYWORD_SQL = f"""with {DERIVED_SQL} select service_name, log_level, count(*) as n, min(line_number) as first_line from derived
+  where log_level in ('ERROR', 'WARN', 'INFO') and list_has_any(string_split(keywords, ','), {_ASKED}) group by 1, 2"""
+
+
 QUERIES = {
+    "keyword_filtered": (keyword_filtered, KEYWORD_SQL),
     "log_parse_first_layout": (parse_first_layout, f"with {LINES_SQL} select line_number, log_file, ts_text, level, "
                                "service_name, hostname, message, pattern_used from lines"),
     "log_parse_second_layout": (parse_second_layout, f"with {ENTRIES_SQL} select line_number, layout, ts_text, "
