@@ -4,7 +4,6 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -14,9 +13,11 @@ from opsloom.llm.tokens import BYTE_BPE, WORD_BPE, encoder
 from tests.llm.rows import AWKWARD, docs
 
 
-def plain(name):
+def plain(name, added=False):
+    """The library itself; ``added``: as it comes, with the added tokens' own ids."""
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    if not added:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -59,14 +60,15 @@ def test_shards_of_awkward_rows(spark):
     assert B.read_documents(B.write_shards(docs(spark, []))).count() == 0
 
 
-def check_packing(rows, pieces, window):
+def check_packing(rows, pieces, window, encode=None):
+    encode = encode or plain(BYTE_BPE)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
         by_seq[p["sequence_id"]].append(p)
     want = defaultdict(list)
     for d, t, _, _ in rows:
-        want[d].append(plain(BYTE_BPE)(t))
+        want[d].append(encode(t))
     assert sum(p["length"] for p in pieces) == sum(len(x) for v in want.values() for x in v)
     for d, texts in want.items():
         if len(texts) == 1:
@@ -100,7 +102,29 @@ def test_op5_packs_everything_at_the_targets(spark, small):
         if sum(p["length"] for p in own) == 2048:
             for s, n in share.items():  # near the target in every window
                 assert abs(sum(p["length"] for p in own if p["source"] == s) - 2048 * n / total) <= 2 * packing.LEAST + 2048 / len(share)
-    assert len(entry.queries()["op5_mixture_packing"](spark, small).columns) == 7
+
+
+def test_op5_query_equals_the_library(spark, small):
+    """The registered query: ids, crc32, starts, lengths and gapless offsets against an unchanged tokenizer."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    out = entry.queries()["op5_mixture_packing"](spark, small)
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    check_packing(rows, out.collect(), 2048, plain(BYTE_BPE, added=True))
+
+
+def test_added_tokens_and_hot_ids(spark, monkeypatch):
+    """Strings of added tokens, one id with most of the rows, null ids: every piece and every shard offset."""
+    from opsloom.llm import tokens
+    monkeypatch.setattr(tokens, "PER_PART", 4)
+    rows = [(i, f"text <|endoftext|> {i} éa<|startoftext|>", "en", "a") for i in range(60)] + [(7, f"hot {i} word", "en", "b") for i in range(200)] + [
+        (None, f"no id {i}", None, None) for i in range(40)]
+    check_packing(rows, packing.pack(docs(spark, rows), window=64, added=True).collect(), 64, plain(BYTE_BPE, added=True))
+    got = B.read_documents(B.write_shards(docs(spark, rows), shard_bytes=200, added=True)).orderBy("start").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and len(ids) == len(rows)
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    crc = lambda t: zlib.crc32(np.array(plain(WORD_BPE, added=True)(t), "<u4").tobytes())
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in got) == sorted((d or -1, crc(t)) for d, t, _, _ in rows)
 
 
 def test_packing_of_awkward_rows(spark):
