@@ -10,7 +10,8 @@ from tools.check_queries import rows_of
 CHOSEN = ["log_service_health", "log_parse_extended_layouts", "wiki_chunk_rows", "request_classes", "sensitive_matches", "bm25_top",
           "hybrid_by_id", "related_three_hops", "critical_paths", "entities_in_questions", "solution_ranking", "root_causes",
           "counter_rate", "incident_log_search", "knowledge_search", "rate_quantiles", "model_monitors", "held_rules", "increase_by_labels",
-          "lineage_downstream", "service_timeline", "entity_rows", "relation_rows", "question_services", "alert_spans", "message_order", "task_progress", "stream_first_texts"]
+          "lineage_downstream", "service_timeline", "entity_rows", "relation_rows", "question_services", "alert_spans", "message_order", "task_progress", "stream_first_texts",
+          "question_entities", "keyword_filtered", "search_tables_written", "log_file_lines", "stream_search_tables"]
 
 
 @pytest.fixture(scope="module")
