@@ -96,3 +96,33 @@ def test_seed_entities(spark):
     rel = seeds.seed_relations(spark)
     ents = seeds.seed_entities(spark)
     assert rel.join(ents, (F.col("dst") == ents.name) & (F.col("dst_type") == ents.type)).count() == rel.count() == 10
+
+
+def test_pairs_of_one_target_share_a_search(spark, monkeypatch):
+    rnd, kinds = random.Random(9), ["CALLS", "ROUTES_TO"]
+    rows = [(f"n{i:02}", f"hub{i % 2}", rnd.choice(kinds)) for i in range(40)] + [(f"n{i:02}", f"n{rnd.randrange(40):02}", k) for i in range(8) for k in kinds]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    asked = [(f"n{i:02}", "hub0") for i in range(40)] + [("n01", "hub1")]
+    sizes = []
+
+    def counted(df, cut=G.cut_lineage):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", counted)
+    for turn in (False, True):
+        pairs = spark.createDataFrame([p[::-1] if turn else p for p in asked], "source string, target string")
+        got = {(r.source, r.target): (r.nodes, r.relations) for r in G.shortest_paths(edges, pairs).collect()}
+        ways = {(s, d, t) for s, d, t in rows} | {(d, s, t) for s, d, t in rows}
+        for s, t in ((p[::-1] if turn else p) for p in asked):
+            front, want = [([s], [])], None
+            for _ in range(5):
+                front = [(n + [b], r + [k]) for n, r in front for a, b, k in ways if a == n[-1] and b not in n]
+                front = list({n[-1]: (n, r) for n, r in sorted(front, reverse=True)}.values())
+                done = [p for p in front if p[0][-1] == t]
+                if done:
+                    want = min(done)
+                    break
+            assert got.get((s, t)) == want
+    assert max(sizes) <= 2 * 42  # anchors times nodes; pairs times nodes are over 1000
