@@ -123,3 +123,13 @@ def test_blocks_of_questions_give_the_same_hits(spark, monkeypatch):
             m.setattr(S, "DOCUMENTS_PER_BLOCK", 70)
             assert sorted(S.similar_rows(d, q, **args).collect()) == want
     assert S.similar_rows(d, q.filter("false"), 3).count() == 0
+
+
+def test_bm25_sums_of_a_task_are_bounded(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('disk full on host ', id % 7) as content")
+    asks = spark.range(20).selectExpr("id as query_id", "concat('disk host ', id % 7) as query")
+    whole = {tuple(r) for r in S.bm25_scores(docs, asks).collect()}
+    monkeypatch.setattr(S, "SUMS_PER_TASK", 400)
+    scores = S.bm25_scores(docs, asks)
+    assert {tuple(r) for r in scores.collect()} == whole and len(whole) == 8000
+    assert max(scores.rdd.glom().map(len).collect()) < 900  # a document has 20; before, 8 tasks at most held all 8000
