@@ -32,8 +32,8 @@ def deltas(samples: DataFrame, keys: list[str], order: list[str], value: str, ts
 
 def rate(samples: DataFrame, keys: list[str], order: list[str], value: str, seconds: int, ts: str = "ts") -> DataFrame:
     """Adds ``increase``, ``rate`` per second and ``resets`` over the last ``seconds``."""
-    out = T.over_last(deltas(samples, keys, order, value, ts), keys, ts, seconds,
-                      increase=F.sum("delta"), resets=F.sum("reset"))
+    out = T.sums_over_last(deltas(samples, keys, order, value, ts), keys, ts, seconds,
+                           increase=F.col("delta"), resets=F.col("reset"))
     return out.withColumn("rate", F.col("increase") / float(seconds))
 
 

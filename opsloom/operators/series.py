@@ -7,7 +7,7 @@ carried by a small table with one row per bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,41 @@ def over_last(df: DataFrame, keys: list[str], ts: str, seconds: int, **aggs: Col
                                 F.struct((own + 1).alias("_bucket"), F.lit(False).alias("_own"))))).select("*", "_b.*")
     frame = Window.partitionBy(*keys, "_bucket").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
     return twice.withColumns({k: v.over(frame) for k, v in aggs.items()}).filter("_own").drop("_t", "_b", "_bucket", "_own")
+
+
+def _passing(df: DataFrame, keys: list[str], ts: str, seconds: int, marks: list[tuple]) -> tuple[DataFrame, WindowSpec]:
+    """Every row in its own bucket and, as ``marks`` (kind, time) say, in the next; and the frame up to a row's time."""
+    own, t = time_bucket(ts, seconds), F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = [F.struct(own.alias("_bucket"), t.alias("_t"), F.lit("own").alias("_kind"))]
+    rows += [F.struct((own + 1).alias("_bucket"), at(own, t, seconds * 1_000_000).alias("_t"), F.lit(kind).alias("_kind")) for kind, at in marks]
+    spread = df.withColumn("_m", F.explode(F.array(*rows))).select("*", "_m.*").drop("_m")
+    return spread, Window.partitionBy(*keys, "_bucket").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+
+
+def sums_over_last(df: DataFrame, keys: list[str], ts: str, seconds: int, **values: Column) -> DataFrame:
+    """Sums of whole numbers as by ``over_last``; null counts as zero.
+
+    A row of the bucket before is added once and taken off once it is too old,
+    so the cost does not depend on the number of rows in a window.
+    """
+    rows, frame = _passing(df, keys, ts, seconds, [("in", lambda own, t, span: t), ("out", lambda own, t, span: t + span + 1)])
+    sign = F.when(F.col("_kind") == "out", -1).otherwise(1)
+    return rows.withColumns({k: F.sum(F.coalesce(v, F.lit(0)) * sign).over(frame) for k, v in values.items()}).filter("_kind = 'own'").drop("_bucket", "_t", "_kind")
+
+
+def max_over_last(df: DataFrame, keys: list[str], ts: str, seconds: int, value: str, out: str) -> DataFrame:
+    """Largest value as by ``over_last``, at a cost that does not depend on the number of rows in a window.
+
+    It is the larger of the own bucket's largest so far and of the largest that
+    the bucket before still has in the window; the latter changes only when a row leaves.
+    """
+    cut = df.withColumn("_own", time_bucket(ts, seconds)).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    bucket = Window.partitionBy(*keys, "_own")
+    later = bucket.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    told = cut.withColumns({"_all": F.max(value).over(bucket), "_later": F.max(value).over(later)})
+    rows, frame = _passing(told, keys, ts, seconds, [("all", lambda own, t, span: (own + 1) * span - 1), ("later", lambda own, t, span: t + span + 1)])
+    kind = F.col("_kind")
+    left = F.last(F.when(kind == "all", F.struct(F.col("_all").alias("v"))).when(kind == "later", F.struct(F.col("_later").alias("v"))), True).over(frame)
+    mine = F.max(F.when(kind == "own", F.col(value))).over(frame)
+    return (rows.withColumns({"_left": left, "_mine": mine}).filter("_kind = 'own'").withColumn(out, F.greatest("_mine", "_left.v"))
+            .drop("_bucket", "_t", "_kind", "_own", "_at", "_all", "_later", "_left", "_mine"))

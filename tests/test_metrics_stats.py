@@ -76,3 +76,15 @@ def test_exact_quantile_narrows_to_the_rank(spark):
         assert set(got) == set(groups)
         for g, xs in groups.items():
             assert abs(got[g] - np.quantile(xs, q)) <= 1e-12 * max(1, abs(got[g]))
+
+
+def test_windows_by_passing_rows_equal_frames(spark):
+    rows = [(i % 2, float(i * 37 % 101) if i % 9 else None, i % 3, (i * i * 7919 % 4_000) // 4 * 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, v double, n int, s long").selectExpr("*", "timestamp_seconds(s) as ts")
+    want = T.over_last(df, ["k"], "ts", 300, total=F.sum("n"), top=F.max("v"))
+    got = T.max_over_last(T.sums_over_last(df, ["k"], "ts", 300, total=F.col("n")), ["k"], "ts", 300, "v", "top")
+    key = lambda r: repr((r.k, r.s, r.v, r.n, r.total, r.top))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    # each row comes three times at most, and no frame slides
+    plan = got._jdf.queryExecution().toString()
+    assert "-300000000" not in plan
