@@ -163,7 +163,7 @@ def rate_quantiles(spark, d):
     marks = {f"le_{i}": F.when(c("value") <= b, 1).otherwise(0) for i, b in enumerate(BOUNDS)} | {"le_inf": F.when(c("value").isNotNull(), 1).otherwise(0)}
     first = T.previous(e.withColumns(marks), ["event_type"], T.time_bucket("ts", M.HOUR), ["ts", "event_id"], "event_id", "_p")
     grown = first.withColumns({n: F.when(c("_p").isNull(), 0).otherwise(c(n)) for n in marks})  # a counter's first sample is no increase
-    rates = T.over_last(grown, ["event_type"], "ts", 300, **{f"r_{n}": F.sum(n) for n in marks})
+    rates = T.sums_over_last(grown, ["event_type"], "ts", 300, **{f"r_{n}": c(n) for n in marks})
     bounds = F.array(*[F.lit(b) for b in BOUNDS], F.lit(float("inf")))
     buckets = F.array(*[c(f"r_{n}") / 300.0 for n in marks])
     return rates.select("event_type", "event_id", F.round(M.quantile(bounds, buckets, 0.95), 6).alias("q95"),
@@ -232,8 +232,12 @@ def held_rules(spark, d):
     e = B.events(spark, d).withColumns({"bad": F.when(c("event_type") == "error", 1).otherwise(0), "failed": F.when(c("event_type") == "view", 1).otherwise(0)})
     out = None
     for rule, window, limit, hold, severity in _RULES:
-        value = {"api error rate": F.avg("bad"), "task failure rate": F.avg("failed"), "high latency": F.max("value")}[rule]
-        seen = T.over_last(e.withColumn("rule", F.lit(rule)), ["rule"], "ts", window, _v=value)
+        samples = e.withColumn("rule", F.lit(rule))
+        if rule == "high latency":
+            seen = T.max_over_last(samples, ["rule"], "ts", window, "value", "_v")
+        else:
+            share = c("bad") if rule == "api error rate" else c("failed")
+            seen = T.sums_over_last(samples, ["rule"], "ts", window, _s=share, _n=F.lit(1)).withColumn("_v", c("_s") / c("_n"))
         # one sample a time: rows of one time see the same window
         states = seen.groupBy("rule", "ts").agg(F.max("_v").alias("v")).withColumn("firing", c("v") > limit)
         one = M.held(states, ["rule"], hold).filter("alert").select(
