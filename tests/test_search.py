@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -133,3 +135,15 @@ def test_bm25_sums_of_a_task_are_bounded(spark, monkeypatch):
     scores = S.bm25_scores(docs, asks)
     assert {tuple(r) for r in scores.collect()} == whole and len(whole) == 8000
     assert max(scores.rdd.glom().map(len).collect()) < 900  # a document has 20; before, 8 tasks at most held all 8000
+
+
+def test_bm25_texts_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "TEXTS_PER_TASK", 2)
+    kb = spark.createDataFrame([(i, f"disk {'slow ' * (i % 3)}n{i}") for i in range(60)], "doc_id long, content string")
+    asks = spark.createDataFrame([(1, "slow disk"), (2, "n7")], "query_id long, query string")
+    found = S.bm25_scores(kb, asks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[doc_id#\d+L\], (\d+)", plan)]
+    assert dealt and min(dealt) >= 30
+    rows = {(r.query_id, r.doc_id) for r in found.collect()}
+    assert rows == {(1, i) for i in range(60)} | {(2, 7)}
