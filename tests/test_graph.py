@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,22 @@ def test_pairs_of_one_target_share_a_search(spark, monkeypatch):
                     break
             assert got.get((s, t)) == want
     assert max(sizes) <= 2 * 42  # anchors times nodes; pairs times nodes are over 1000
+
+
+def test_words_that_all_names_hold_are_no_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(G, "ROWS_PER_TASK", 10)
+    names = spark.createDataFrame([(f"part-{i:03d}", "Component") for i in range(200)], "name string, type string")
+    asked = spark.createDataFrame([(i, "part none-at-all" if i % 2 else "part-19") for i in range(200)], "query_id int, query string")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = G.entities_by_word(names, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {}
+        for r in found.collect():
+            rows.setdefault(r.query_id, []).append((r.rank, r.name))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert not re.search(r"SortMergeJoin \[(gram|word)", plan)
+    assert sorted(rows[1]) == [(i + 1, f"part-{i:03d}") for i in range(5)]
+    assert sorted(rows[2]) == [(i + 1, f"part-{190 + i}") for i in range(5)] and len(rows) == 200
