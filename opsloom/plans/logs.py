@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opsloom import rules as R
 from opsloom.functions import logs as L
 from opsloom.functions.text import normalize_service, text_key
-from opsloom.operators.filters import search_filter
+from opsloom.operators.filters import made_once, search_filter
 from opsloom.plans import bindings as B
 from opsloom.plans.sqltext import any_like, bonus_sum, chain, found_list, quote, ts_text
 
@@ -323,7 +323,7 @@ def flat_log_rows(spark, d):
 
 def filtered_entries(spark, d):
     """Closed time range, services and levels in one filter over parsed entries."""
-    e = enriched(spark, d)
+    e = made_once(enriched(spark, d).select("line_number", "service_name", "log_level", "severity_score", "timestamp"))
     kept = e.filter(search_filter(service=["service-a", "service-b"], level=["ERROR", "WARN"],
                                   times=(F.lit("2024-01-05 00:00:00").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))))
     return kept.select("line_number", "service_name", "log_level", "severity_score")
@@ -335,7 +335,8 @@ def text_keys(spark, d):
 
 def keyword_filtered(spark, d):
     """Entries that share a keyword with the asked ones, per service and level."""
-    rows = enriched(spark, d).filter(search_filter(level=["ERROR", "WARN", "INFO"], keywords=R.LOG_KEYWORDS[:3]))
+    made = made_once(enriched(spark, d).select("service_name", "log_level", "line_number", "keywords"))
+    rows = made.filter(search_filter(level=["ERROR", "WARN", "INFO"], keywords=R.LOG_KEYWORDS[:3]))
     return rows.groupBy("service_name", "log_level").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"))
 
 

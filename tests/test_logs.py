@@ -2,8 +2,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from opsloom.functions import logs as L
 from opsloom.functions.text import normalize_service, strip
+from opsloom.operators.filters import made_once
 
 
 def entries(spark, lines, formats="standard"):
@@ -95,3 +97,10 @@ def test_overlapping_patterns_each_match(spark):
     row = spark.createDataFrame([(text,)], "t string").select(L.entities(F.col("t")).alias("e"), L.keywords(F.col("t")).alias("k")).first()
     assert set(row.e) == {"service:service-r", "service:service-d", "service:redis", "service:database", "tech:redis"}
     assert {"metric_95", "metric_20", "metric_3", "metric_12"} <= set(row.k)
+
+
+def test_filters_do_not_copy_costly_columns(spark, small):
+    plan = entry.queries()["keyword_filtered"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap(keywords#" in plan and plan.count("arrays_overlap(") == 1
+    rows = made_once(spark.createDataFrame([(1, None), (2, ["a"])], "x int, y array<string>"))
+    assert {(r.x, tuple(r.y or ())) for r in rows.collect()} == {(1, ()), (2, ("a",))}
