@@ -37,6 +37,17 @@ def test_trails_equal_plain_walk(spark, depth):
         assert {(r.name, r.distance) for r in rows if r.start == s} == plain_reach(edges, s, depth)
 
 
+def test_three_steps_shuffle_no_pairs(spark):
+    edges = [("hub", f"n{i}") for i in range(12)] + [("n0", "n0"), ("n1", "n2"), ("n2", "n1")]
+    df = spark.createDataFrame([(a, b, "R") for a, b in edges] + [(None, "n3", "R"), ("n4", None, "R")], "src string, dst string, type string")
+    out = G.reachable(df, starts(spark, "hub", "n0", "n1", "n1", "n5", "gone"), 3)
+    assert not re.search(r"hashpartitioning\(start#\d+L?, (node|name)#", out._jdf.queryExecution().executedPlan().toString())
+    rows = out.collect()
+    assert len(rows) == len(set(rows))
+    for s in ("hub", "n0", "n1", "n5", "gone"):
+        assert {(r.name, r.distance) for r in rows if r.start == s} == plain_reach(edges, s, 3)
+
+
 def test_seed_topology(spark):
     edges = seeds.topology_edges(spark)
     near = G.nearest_services(edges, starts(spark, "service-a"), "out", 2, ["ROUTES_TO", "CONNECTS_TO"]).collect()
