@@ -61,6 +61,17 @@ def test_leader_clusters_equal_sequential_rule(spark):
         assert [got[i] for i in range(180)] == sequential_leaders(m, 0.8)
 
 
+def test_leader_blocks_are_written_once(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    monkeypatch.setattr(clusters, "BLOCKS_PER_PART", 2)
+    m = np.random.default_rng(5).normal(size=(150, 3)).astype("float32").astype("float64")
+    df = vectors(spark, m, "item_id").selectExpr("item_id", "cast(vector as array<float>) as vector")
+    got = {r.item_id: r.leader_id for r in clusters.leader_clusters(df, 0.9, 20).collect()}
+    assert [got[i] for i in range(150)] == sequential_leaders(m, 0.9)
+    rows = df.selectExpr("item_id as pos", "vector")
+    assert "Generate" not in clusters._met(rows, rows, 0.9)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_leaders_of_chains_and_awkward_vectors(spark):
     """A chain in which each item is near the one before only; zero, null and repeated vectors; no items."""
     chain = [[float(np.cos(0.5 * i)), float(np.sin(0.5 * i))] for i in range(10)]
