@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from opsloom.llm import maxscore, neighbours, vectors
+from opsloom.llm import maxscore, nearcopies, neighbours, simhash, vectors
 from opsloom.llm.queries import QUERIES
 from tests.llm.rows import AWKWARD, docs
 from tools.check_queries import rows_of
@@ -218,3 +218,25 @@ def test_near_copies_go_by_five_word_similarity(spark):
                 root = [new if r == old else r for r in root]
     kept = corpus_pipeline.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root)) and len(set(root)) < 150
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Where no band of least hashes agrees, copies whose fingerprints differ in three bits at most still meet."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(20):
+        words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"x{len(texts)}"]), " ".join(words[3:])]
+    prints = [simhash.majority(nearcopies.shingles(t)) for t in texts]
+    sets, root = five_word_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) < 40
+    frame_ = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert len(corpus_pipeline.near_duplicates(spark, frame_, "").collect()) == 20
+    monkeypatch.setattr(nearcopies, "band_keys", lambda own: np.arange(nearcopies.BANDS) + int(own.sum() >> np.uint64(8)))
+    kept = corpus_pipeline.near_duplicates(spark, frame_, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
