@@ -303,3 +303,19 @@ def test_licences_inherit_from_the_nearest_directory(spark):
 def test_licence_scan_runs_no_python(spark, small):
     plan = entry.queries()["op4_license_scan"](spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
+
+
+def test_passage_tasks_are_small():
+    """Bytes that a task of the suffix arrays takes at once, and rows that it hands to the JVM at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 1000, np.uint8).tobytes() for _ in range(2000)]
+    batches = list(suffixes._handed(suffixes._folded([(i, 0, t) for i, t in enumerate(texts)])))
+    assert max(b.num_rows for b in batches) <= 20_000 < sum(b.num_rows for b in batches)
+    pieces = [t[:170] for t in texts for _ in range(2)]
+    pieces = [p for p, end in zip(pieces, np.cumsum([len(p) for p in pieces])) if end <= suffixes.ARRAY]
+    tracemalloc.start()
+    suffixes.repeated(pieces, np.full(len(pieces), 71), np.stack([np.arange(len(pieces)), *np.zeros((2, len(pieces)), np.int64)], axis=1))
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
