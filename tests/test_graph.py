@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,39 @@ def test_three_steps_shuffle_no_pairs(spark):
         assert {(r.name, r.distance) for r in rows if r.start == s} == plain_reach(edges, s, 3)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_walks_by_counts_equal_plain_trails(monkeypatch, seed):
+    """Several edges between two nodes, loops, both ways or one way, in small steps or at once."""
+    rnd = random.Random(seed)
+    if seed % 2:
+        monkeypatch.setattr(G, "NODES_AT_ONCE", 3)
+    monkeypatch.setattr(G, "SHARED_BY", rnd.choice([0, 2, 99]))
+    edges = [(rnd.randrange(7), rnd.randrange(7)) for _ in range(rnd.choice([6, 12, 25]))]
+    arcs = [(a, b, e) for e, (a, b) in enumerate(edges)] + [(b, a, e) for e, (a, b) in enumerate(edges) if a != b and seed < 4]
+    walks = G._Walks(G._Arcs(*[np.array(x, np.int64) * 10 for x in zip(*arcs)]))
+    for start in walks.arcs.names.tolist():
+        trails, want = [(start // 10, ())], set()
+        for d in (1, 2, 3):
+            trails = [(b, (*used, e)) for node, used in trails for a, b, e in arcs if a == node and e not in used]
+            want |= {(b * 10, d) for b, _ in trails if b * 10 != start}
+        got = [(int(n), d) for d, found in walks.of(int(np.searchsorted(walks.arcs.names, start))) for n in walks.arcs.names[found]]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not walks.total.any() and not walks.spare.any()
+
+
+def test_trails_of_a_start_are_not_rows(spark):
+    """300 leaves of two hubs: 90,000 trails of a hub end at leaves; only what is distinct comes out of a task."""
+    edges = [(f"n{i}", f"hub{j}") for i in range(300) for j in (0, 1)]
+    df = spark.createDataFrame([(a, b, "R") for a, b in edges], "src string, dst string, type string")
+    out = G.reachable(df, starts(spark, "hub0", "n7"), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "HashAggregate" not in plan
+    rows = {(r.start, r.distance, r.name) for r in out.collect()}
+    leaves, hubs = {f"n{i}" for i in range(300)}, {"hub0", "hub1"}
+    want = {("hub0", d, n) for d, ns in ((1, leaves), (2, {"hub1"}), (3, leaves)) for n in ns}
+    assert rows == want | {("n7", d, n) for d, ns in ((1, hubs), (2, leaves - {"n7"}), (3, hubs)) for n in ns}
+
+
 def test_seed_topology(spark):
     edges = seeds.topology_edges(spark)
     near = G.nearest_services(edges, starts(spark, "service-a"), "out", 2, ["ROUTES_TO", "CONNECTS_TO"]).collect()
