@@ -72,6 +72,33 @@ def test_leader_blocks_are_written_once(spark, monkeypatch):
     assert "Generate" not in clusters._met(rows, rows, 0.9)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_planner_sizes_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """Each round once squared the size that the planner takes a table for, into numbers that fill the driver."""
+    bits, cut = [], clusters.cut_lineage
+
+    def told(df):
+        out = cut(df)
+        bits.append(int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length())
+        return out
+
+    monkeypatch.setattr(clusters, "cut_lineage", told)
+    chain = np.array([[np.cos(0.5 * i), np.sin(0.5 * i)] for i in range(12)])
+    got = {r.item_id: r.leader_id for r in clusters.leader_clusters(vectors(spark, chain, "item_id"), 0.8, 1).collect()}
+    assert [got[i] for i in range(12)] == sequential_leaders(chain.astype("float32").astype("float64"), 0.8)
+    assert len(bits) > 15 and max(bits) < 200
+
+
+def test_first_near_decides_as_in_double_precision():
+    rng = np.random.default_rng(11)
+    angles = np.concatenate([np.arccos(0.8) + rng.normal(scale=s, size=60) for s in (1e-10, 1e-9, 1e-8, 1e-6, 1e-3)])
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    theirs = np.array([[1.0, 0.0], [0.0, 1.0], [np.cos(0.1), np.sin(0.1)]])
+    pos, asked = np.arange(300) + 2, np.array([0, 1, 150])
+    got = clusters._first_near(pos, x, asked, theirs, 0.8)
+    near = (np.round(x @ theirs.T, 9) > 0.8) & (asked[None, :] < pos[:, None])
+    assert got.tolist() == [asked[n.argmax()] if n.any() else -1 for n in near] and len(set(got.tolist())) == 3
+
+
 def test_leaders_of_chains_and_awkward_vectors(spark):
     """A chain in which each item is near the one before only; zero, null and repeated vectors; no items."""
     chain = [[float(np.cos(0.5 * i)), float(np.sin(0.5 * i))] for i in range(10)]
