@@ -185,3 +185,23 @@ def test_bm25_texts_of_a_task_are_bounded(spark, monkeypatch):
     assert dealt and min(dealt) >= 30
     rows = {(r.query_id, r.doc_id) for r in found.collect()}
     assert rows == {(1, i) for i in range(60)} | {(2, 7)}
+
+
+def test_blocks_of_vectors_are_written_once(spark, monkeypatch):
+    """Many questions: no vector is copied per block of the other side, and a block of questions gives its best once."""
+    monkeypatch.setattr(S, "QUERIES_PER_PASS", 40)
+    monkeypatch.setattr(S, "DOCUMENTS_PER_BLOCK", 10)
+    x = np.random.default_rng(8).normal(size=(400, 4))
+    x[50:90], x[200:220] = x[3], 0
+    d = spark.createDataFrame([(f"d{i:03}", [float(y) for y in v]) for i, v in enumerate(x)], "doc_id string, vector array<float>").repartition(3)
+    q = d.withColumnRenamed("doc_id", "query_id")
+    hits = S._blocks_met(d, q, 3, None, False, True)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan
+    assert hits.count() <= 3 * 400  # before, three for each of 40 blocks of documents
+    u = x.astype("float32").astype("float64")
+    length = np.linalg.norm(u, axis=1, keepdims=True)
+    u = np.divide(u, length, out=np.zeros_like(u), where=length > 0)
+    s = np.round(u @ u.T, 9)
+    want = {(f"d{i:03}", f"d{j:03}", n + 1) for i in range(400) for n, (_, j) in enumerate(sorted((-s[i, j], j) for j in range(400) if j != i)[:3])}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in S.similar_rows(d, q, 3, not_self=True).collect()} == want
